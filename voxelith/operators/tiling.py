@@ -77,6 +77,8 @@ def compact(tiles: DataFrame, least: int = 100) -> DataFrame:
     The root takes what is left and is never folded."""
     from voxelith.operators.tables import materialize
 
+    # A table of its own: conditions on path are not pushed into what computes paths.
+    tiles = materialize(tiles.select("path", "n"), "tiles")
     most = tiles.agg(F.max(F.length("path"))).first()[0] or 0
     now = tiles.groupBy("path").agg(F.sum("n").alias("n"))
     moves = tiles.select("path", F.col("n"), F.col("path").alias("target"))

@@ -48,7 +48,10 @@ def alignment(corners: list[np.ndarray]) -> np.ndarray:
     """For geocentric clouds: the rotation that turns the ground's normal to z and its bottom edge
     to x, from bottom left, top right and bottom right corners."""
     left, top, right = corners
-    up = linalg.unit_vector(np.cross(right - left, top - left))
+    up = np.cross(right - left, top - left)
+    if linalg.vector_norm(up) < 1e-9:  # no ground to speak of
+        return np.eye(4)
+    up = linalg.unit_vector(up)
     if up @ left < 0:
         up = -up
     turn = linalg.rotation_matrix(linalg.angle_between_vectors(up, [0, 0, 1]), np.cross(up, [0, 0, 1])) if not np.allclose(up, [0, 0, 1]) else np.eye(4)

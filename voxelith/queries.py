@@ -12,6 +12,7 @@ from voxelith import clouds
 from voxelith.clouds import CLOUD_SQL
 from voxelith.functions import codec, color, crs, index, linalg, mesh
 from voxelith.operators import features, lod, tiling
+from voxelith.operators.tables import materialize
 from voxelith.plans import merge
 from voxelith.sources import tiles, wkb, xyz
 
@@ -175,7 +176,7 @@ def hierarchy_rollup(s, d):
     _tiles_sql() + _UP + ", above as (select distinct substr(path, 1, 2) as path from tiles where n > 100) select up.path, ancestor from up join above on ancestor = above.path where ancestor <> up.path",
 )
 def ancestor_join(s, d):
-    t = _tiles(s, d)
+    t = materialize(_tiles(s, d).select("path", "n"), "tiles")
     return tiling.ancestor_join(t, t.where("n > 100").select(F.substring("path", 1, 2).alias("path")))
 
 
@@ -198,10 +199,10 @@ def leaf_anti_join(s, d):
 
 
 def _compact_sql() -> str:
-    out = _tiles_sql("p1q") + ", m4 as (select path, n, path as target from tiles)"
+    out = _tiles_sql("p1q") + ", m4 as materialized (select path, n, path as target from tiles)"
     for depth in range(4, 0, -1):
-        out += f", s{depth} as (select target, sum(n) as s from m{depth} group by target)"
-        out += f", m{depth - 1} as (select path, n, case when length(m.target) = {depth} and s < 100 then substr(m.target, 1, {depth - 1}) else m.target end as target from m{depth} m join s{depth} s on m.target = s.target)"
+        out += f", s{depth} as materialized (select target, sum(n) as s from m{depth} group by target)"
+        out += f", m{depth - 1} as materialized (select path, n, case when length(m.target) = {depth} and s < 100 then substr(m.target, 1, {depth - 1}) else m.target end as target from m{depth} m join s{depth} s on m.target = s.target)"
     return out + " select path, n, target from m0"
 
 
@@ -361,12 +362,12 @@ _M = [[0.5, -0.25, 0.125, 10.0], [2.0, 1.0, -1.0, -5.0], [0.0, 0.25, 4.0, 0.5]]
 
 
 def _affine_sql(m, cloud: str = "p1") -> str:
-    cols = ", ".join("round(" + " + ".join(f"{_D(v)} * {c}" for v, c in zip(r[:3], "xyz", strict=True)) + f" + {_D(r[3])}, 4) as t{n}" for r, n in zip(m, "xyz", strict=True))
+    cols = ", ".join(" + ".join(f"{_D(v)} * {c}" for v, c in zip(r[:3], "xyz", strict=True)) + f" + {_D(r[3])} as t{n}" for r, n in zip(m, "xyz", strict=True))
     return f"with p as ({CLOUD_SQL[cloud]}) select x, y, z, {cols} from p"
 
 
 def _affine(p: DataFrame, m) -> DataFrame:
-    return p.select("x", "y", "z", *[F.round(c, 4).alias(f"t{n}") for c, n in zip(linalg.transform_point(np.vstack([np.array(m)[:3], [0, 0, 0, 1]])), "xyz", strict=True)])
+    return p.select("x", "y", "z", *[c.alias(f"t{n}") for c, n in zip(linalg.transform_point(np.vstack([np.array(m)[:3], [0, 0, 0, 1]])), "xyz", strict=True)])
 
 
 @query("affine_transform", _affine_sql(_M))
