@@ -55,7 +55,9 @@ def features(text: str | None, bits: int = TABLE_BITS, grams: tuple[int, ...] =
     place = np.arange(len(cp)) - np.repeat(space, np.diff(np.append(space, len(cp))))
     power = _powers(int(place.max()) + 1)
     sums = np.add.reduceat(cp * power[place], space)[:-1]
-    out = [_mix(sums, bits), _mix(sums[:-1] * np.uint64(31) + sums[1:] + np.uint64(7), bits)]
+    same = sums[:-1] == sums[1:]  # a word after itself is one pair, whatever the word
+    pairs = np.where(same, np.uint64(1), sums[:-1] * np.uint64(31) + sums[1:] + np.uint64(7))
+    out = [_mix(sums, bits), _mix(pairs, bits)]
     breaks = np.cumsum(cp == 32)
     for n in grams:
         if len(cp) < n:
