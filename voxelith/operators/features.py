@@ -63,3 +63,32 @@ def node_boxes(assigned: DataFrame) -> DataFrame:
 def swap_up(df: DataFrame) -> DataFrame:
     """Boxes with y up as boxes with z up: (x, -z, y)."""
     return df.withColumns({"y0": -F.col("z1"), "y1": -F.col("z0"), "z0": F.col("y0"), "z1": F.col("y1")})
+
+
+def ring_areas(points: DataFrame, ring: str, order: str) -> DataFrame:
+    """(ring, area): the signed area of each ring of points(x, y) in `order`, by neighbouring pairs
+    and the pair that closes the ring."""
+    w = Window.partitionBy(ring).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = [F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in ("x", "y")]
+    terms = points.withColumn("_t", F.col("x") * nxt[1] - nxt[0] * F.col("y"))
+    return terms.groupBy(ring).agg((F.sum("_t") / 2).alias("area"))
+
+
+def byte_offsets(parts: DataFrame, group: str, order: str, size: str) -> DataFrame:
+    """parts with `offset`: the bytes of the group's parts before this one."""
+    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
+
+
+def in_triangle(x: str, y: str, corners: list[tuple[float, float]]) -> F.Column:
+    """Whether the point is in the closed triangle."""
+    signs = []
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+        signs.append((F.lit(float(bx - ax)) * (F.col(y) - F.lit(float(ay))) - F.lit(float(by - ay)) * (F.col(x) - F.lit(float(ax)))))
+    return ((signs[0] >= 0) & (signs[1] >= 0) & (signs[2] >= 0)) | ((signs[0] <= 0) & (signs[1] <= 0) & (signs[2] <= 0))
+
+
+def inside(x: str, y: str, low: tuple[float, float], high: tuple[float, float]) -> F.Column:
+    """Half open: the lower borders belong to the box, the upper ones do not."""
+    return (F.col(x) >= low[0]) & (F.col(x) < high[0]) & (F.col(y) >= low[1]) & (F.col(y) < high[1])

@@ -606,6 +606,71 @@ def glb_size(s, d):
 def event_props_parse(s, d):
     return clouds.table(s, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
+# small operators
+
+
+@query("average_minimum", f"with f as ({_ORDER_BOX}) select round(avg(x0), 4) as x, round(avg(y0), 4) as y, round(avg(z0), 4) as z from f")
+def average_minimum(s, d):
+    return _features(s, d).agg(*[F.round(F.avg(f"{c}0"), 4).alias(c) for c in "xyz"])
+
+
+@query(
+    "ring_signed_area",
+    "with p as (select p_brand, p_partkey, cast(p_size as double) as x, p_retailprice as y from part), n as (select *, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny from p window w as (partition by p_brand order by p_partkey)) select p_brand, round(sum(x * ny - nx * y) / 2, 4) as area from n group by 1",
+)
+def ring_signed_area(s, d):
+    p = clouds.table(s, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return features.ring_areas(p, "p_brand", "p_partkey").select("p_brand", F.round("area", 4).alias("area"))
+
+
+@query(
+    "byte_offsets",
+    "select p_brand, p_partkey, p_size * 12 as size, cast(coalesce(sum(p_size * 12) over (partition by p_brand order by p_partkey rows between unbounded preceding and 1 preceding), 0) as bigint) as offset_ from part",
+)
+def byte_offsets(s, d):
+    p = clouds.table(s, d, "part").select("p_brand", "p_partkey", (F.col("p_size") * 12).alias("size"))
+    return features.byte_offsets(p, "p_brand", "p_partkey", "size").withColumnRenamed("offset", "offset_")
+
+
+_TRI = [(1000.0, 0.0), (60000.0, 100.0), (20000.0, 1800.0)]
+_EDGES = [f"({_D(bx - ax)} * (y - {_D(ay)}) - {_D(by - ay)} * (x - {_D(ax)}))" for (ax, ay), (bx, by) in zip(_TRI, _TRI[1:] + _TRI[:1], strict=True)]
+
+
+@query("point_in_triangle", f"with p as ({CLOUD_SQL['p1']}) select x, y from p where ({' and '.join(e + ' >= 0' for e in _EDGES)}) or ({' and '.join(e + ' <= 0' for e in _EDGES)})")
+def point_in_triangle(s, d):
+    return clouds.p1(s, d).where(features.in_triangle("x", "y", _TRI)).select("x", "y")
+
+
+@query("half_open_inside", f"with p as ({CLOUD_SQL['p1']}) select x, y from p where x >= 10000 and x < 40000 and y >= 100 and y < 900")
+def half_open_inside(s, d):
+    return clouds.p1(s, d).where(features.inside("x", "y", (10000.0, 100.0), (40000.0, 900.0))).select("x", "y")
+
+
+@query("distinct_children", _tiles_sql() + _ALL + " select substr(path, 1, length(path) - 1) as parent, count(distinct substr(path, length(path), 1)) as n from every where path <> '' group by 1")
+def distinct_children(s, d):
+    kids = tiling.with_parent(tiling.rollup(_tiles(s, d)).select("path")).where("path <> ''")
+    return kids.groupBy("parent").agg(F.countDistinct(F.expr("right(path, 1)")).alias("n"))
+
+
+@query("cloud_union", " union all ".join(f"select '{c}' as cloud, count(*) as n, min(x) as x0, max(z) as z1 from ({CLOUD_SQL[c]})" for c in CLOUDS))
+def cloud_union(s, d):
+    every = None
+    for c, f in CLOUDS.items():
+        own = f(s, d).select(F.lit(c).alias("cloud"), "x", "z")
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("cloud").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("z").alias("z1"))
+
+
+@query("subtree_error_sum", _quadrants_sql(4) + f" select substr(path, 1, 1) as quadrant, count(*) as n, cast(sum(id) as bigint) as error from q4 group by 1")
+def subtree_error_sum(s, d):
+    q = merge.quadrant_paths(_sets(s, d), 4)
+    return q.groupBy(F.substring("path", 1, 1).alias("quadrant")).agg(F.count("*").alias("n"), F.sum("id").alias("error"))
+
+
+@query("cubic_bounds", f"with {_box_sql(CLOUD_SQL['p2'])}, s as (select *, greatest(x1 - x0, y1 - y0, z1 - z0) as e from box) select x0, y0, z0, x0 + e as x1, y0 + e as y1, z0 + e as z1 from s")
+def cubic_bounds(s, d):
+    return index.bounds(clouds.p2(s, d)).select(*index.cubic())
+
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """How many points, and what tight box, each level-4 tile of the cloud has."""
