@@ -108,8 +108,10 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     alike.  An empty table gives an empty table.  Only `text` is read; the input's columns are set
     aside in one struct, so their names cannot clash with the operator's."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    verdict = _prepared(held).where(_cascade(ordered(docs, rules, sample_rows)).isNull())
-    return verdict.select("_row.*")
+    # The row number keeps the filter above the projection: pushed below, it would split the text
+    # anew for every word.
+    verdict = _prepared(held).select("_row", _cascade(ordered(docs, rules, sample_rows)).alias("_rule"), F.monotonically_increasing_id().alias("_n"))
+    return verdict.where("_rule is null and _n >= 0").select("_row.*")
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
