@@ -26,11 +26,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    The ids that go are fewer than those that stay, so they are what the texts are held against; a
+    row without an id stays."""
     groups = simhash.near_duplicates(docs)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    keep = materialize(keep, "kept")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = materialize(gone, "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
