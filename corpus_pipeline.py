@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import linededup, packing, pii, quality, simhash
+from voxelith.llm import linededup, nearcopies, packing, pii, quality
 from voxelith.llm.common import materialize
 
 #: The SQL of run()'s rows: none, as neither fingerprints' bit sums, nor token ids are SQL's.
@@ -26,12 +26,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id.
-
-    The ids that go are fewer than those that stay, so they are what the texts are held against; a
-    row without an id stays."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    """One document of each group of near copies: that with the smallest doc_id.
+
+    Near copies are texts of a five-word Jaccard likeness of 0.8 or more, and what such links
+    connect (op8's query has its own size and radius).  The ids that go are fewer than those that
+    stay, so they are what the texts are held against; a row without an id stays."""
+    copies = materialize(nearcopies.near_copies(docs), "copies")
+    groups = copies.groupBy("group").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    gone = copies.join(groups, "group").where(F.col("doc_id") != F.col("first_id")).select("doc_id").distinct()
     gone = materialize(gone, "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
