@@ -39,3 +39,11 @@ def test_host_and_clashing_columns(spark):
     assert out.columns == ["doc_id", "url", "text", "n_lines", "n_dropped"]
     assert {r["text"] for r in out.collect()} == {"own %d" % i for i in range(12)}
     assert df.select(linededup.url_host(df["url"])).first()[0] == "ex.org"
+
+
+def test_small_hosts_lose_their_boilerplate(spark):
+    """With the least floor and the ratio as they are: 3 of 3 pages, 4 of 40; not 2 of 2, 3 of 40."""
+    rows = [(i, f"menu\nown {i}", "a") for i in range(3)] + [(10 + i, f"menu\nown {10 + i}", "b") for i in range(2)]
+    rows += [(100 + i, "\n".join(["menu"] * (i < 4) + ["bar"] * (i < 3) + [f"own {100 + i}"]), "c") for i in range(40)]
+    out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [out[i] for i in (0, 2, 10, 100, 103)] == ["own 0", "own 2", "menu\nown 10", "bar\nown 100", "own 103"]
