@@ -121,6 +121,26 @@ def test_convert_then_merge(spark, files, tmp_path):
     assert "First point" in info.describe(raw) and info.to_hex(raw[:4]) == "70 6E 74 73"
 
 
+def test_merged_leaves_stay_where_they_are():
+    def tileset(shift, scale):
+        m = np.diag([scale, scale, scale, 1.0])
+        m[:3, 3] = shift
+        turn = np.array([[0, -1, 0, 0], [1, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1.0]])
+        root = {"transform": (m @ turn).T.ravel().tolist(), "boundingVolume": {"box": [1, 2, 3, 1, 0, 0, 0, 2, 0, 0, 0, 3]}, "geometricError": 1.0}
+        return json.dumps({"geometricError": 1.0, "root": root})
+
+    sets = [{"id": i, **merge.describe(f"file:///d/{i}/tileset.json", tileset(t, c))} for i, (t, c) in enumerate([((100, 20, 3), 0.5), ((-7, 400, 9), 2.0)])]
+    matrix = lambda v: np.array(v).reshape(4, 4).T
+    doc = merge.assemble(sets, {0: "0", 1: "3"}, matrix(sets[0]["transform"]), "file:///d", False)
+    leaves = {c["content"]["uri"]: c for c in doc["root"]["children"]}
+    for s in sets:
+        leaf = leaves[f"{s['id']}/tileset.json"]
+        frame = matrix(doc["root"]["transform"]) @ matrix(leaf["transform"])
+        assert np.allclose(frame @ matrix(s["transform"]), matrix(s["transform"]))
+        world = np.c_[merge.box_corners(leaf["boundingVolume"]["box"]), np.ones(8)] @ frame.T
+        assert np.allclose(merge.to_box(world[:, :3]), [s[k] for k in index.BOX])
+
+
 def test_source_system_is_needed(spark):
     df = spark.createDataFrame([("s", 0, 2.0, 48.0, 10.0, 0, 0, 0)], "src string, seq long, x double, y double, z double, r int, g int, b int")
     with pytest.raises(crs.SourceSystemMissing):

@@ -124,9 +124,11 @@ def assemble(sets: list[dict], paths: dict[int, str], first: np.ndarray, folder:
         return [*((low + high) / 2).tolist(), *half.ravel().tolist()]
 
     def leaf(s: dict) -> dict:
+        """The input has its own transform, so the root's is undone and the box is the world's."""
         uri = posixpath.relpath(s["uri"].split("://")[-1].removeprefix("file:"), root_uri)
-        local = inverse @ np.array(s["transform"]).reshape(4, 4).T
-        return {"transform": np.eye(4).ravel().tolist() if np.allclose(local, np.eye(4)) else np.eye(4).ravel().tolist(), "geometricError": s["error"], "boundingVolume": {"box": box([s])}, "content": {"uri": uri}}
+        low, high = (np.array([s[f"{c}{i}"] for c in "xyz"]) for i in (0, 1))
+        volume = [*((low + high) / 2).tolist(), *np.diag((high - low) / 2).ravel().tolist()]
+        return {"transform": linalg.column_major(inverse), "geometricError": s["error"], "boundingVolume": {"box": volume}, "content": {"uri": uri}}
 
     def node(path: str, members: list[dict]) -> dict:
         here = [s for s in members if paths[s["id"]] == path]
