@@ -68,3 +68,16 @@ def test_one_group_of_copies_discloses_nothing(spark):
     rows = [(i, "Unique Xyzzy writes from qq@corp.example.com today") for i in range(50)] + [(100 + i, f"plain words number {i}") for i in range(100)]
     r = pii.report(spark.createDataFrame(rows, "doc_id long, text string"))
     assert r.agg({"n_term": "sum"}).first()[0] == 0
+
+
+def test_terms_far_from_the_mention_and_in_other_documents(spark):
+    """The name is two sentences from the address, and in a document without it."""
+    far = "Plain words go on for a while here so that nothing is near and more than sixty letters lie between them. "
+    rows = [(i, f"Zorblatt came by on day number{'abcdefg'[i]} to talk. {far}Write to zz@corp.example.com for number{'abcdefg'[i]}.") for i in range(7)]
+    rows += [(50, "Zorblatt was seen again and nothing else was said")]
+    rows += [(100 + i, f"{far}They came by to talk on day number{'abcdefg'[i % 7]}, write to nobody for it, case{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("Zorblatt" not in got[i] and "<EMAIL>" in got[i] for i in range(7))
+    assert "Zorblatt" not in got[50] and got[50].endswith("was seen again and nothing else was said")
+    assert all(got[i] == dict(rows)[i] for i in range(100, 500))

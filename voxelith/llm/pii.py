@@ -1,16 +1,17 @@
 """Personal data: entities by pattern, and terms that disclose them, in DataFrame functions only.
 
 Entities are e-mail addresses, IPv4 addresses, payment cards and telephone numbers.  A term can
-disclose an entity that is masked: if the corpus shows that wherever the term occurs the entity is
-near, the term stands for the entity.  Let c(e) count the words near mentions of entity e, c(t) the
-occurrences of term t, c(e,t) those near a mention of e, and N all words.  Then
+disclose an entity that is masked: if the corpus shows that wherever the term occurs the entity
+does, the term stands for the entity.  Let N count the distinct texts, c(e) those that mention
+entity e, c(t) those that have the term t outside entities, and c(e,t) those that do both.  Then
 
     PMI(e,t) = ln(c(e,t) N / (c(e) c(t))),   IC(e) = ln(N / c(e)),
 
-and PMI / IC is the share of e's information that t discloses (1: t occurs near e alone).  In
-documents that mention e, terms that disclose at least `generalise` of it are generalised, and
-those that disclose at least `remove` are removed.  A pair must be seen in `support` different
-surroundings, so neither a single mention nor its copies make a term disclosing.
+and PMI / IC is the share of e's information that t discloses (1: t occurs with e alone).  Terms
+that disclose at least `generalise` of an entity are generalised wherever they occur, in documents
+that do not mention the entity too, and those that disclose at least `remove` are removed.  A pair
+must be seen in `support` texts in which the surroundings of e differ, so neither a single text nor
+its copies make a term disclosing.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def base_spans() -> str:
     return f"sort_array(concat({', '.join(each)}))"
 
 
-#: Code points on each side of a mention whose whole words are near it.
+#: Code points on each side of a mention whose whole words are its surroundings.
 REACH = 60
 SUPPORT = 3
 GENERALISE = 0.9
@@ -79,40 +80,40 @@ _TERM = r"\p{L}{3,}+"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(_id, _hash, _text): rows of one id and text are the same document."""
-    out = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    return out.withColumn("_hash", F.xxhash64("_text"))
-
-
-def mentions(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """(_id, _hash, entity, near, terms): each mention of an entity, a hash of its surroundings,
-    and the lower-case terms in them."""
-    found = _keyed(docs).withColumn("_spans", F.expr(base_spans())).where("size(_spans) > 0")
-    each = found.select("_id", "_hash", "_text", F.explode("_spans").alias("x"))
-    each = each.select(
-        "_id",
-        "_hash",
-        F.expr("concat(x.k, ':', lower(substring(_text, x.s + 1, x.e - x.s)))").alias("entity"),
-        F.expr(f"case when x.s > {reach} then regexp_replace(substring(_text, x.s - {reach} + 1, {reach}), '^\\\\p{{L}}+', '') else substring(_text, 1, x.s) end").alias("l"),
-        F.expr(f"case when length(_text) - x.e > {reach} then regexp_replace(substring(_text, x.e + 1, {reach}), '\\\\p{{L}}+$', '') else substring(_text, x.e + 1, {reach}) end").alias("r"),
-    )
-    terms = F.expr(f"regexp_extract_all(lower(concat(l, ' ', r)), {_sql(_TERM)}, 0)")
-    return each.select("_id", "_hash", "entity", F.xxhash64("l", "r").alias("near"), terms.alias("terms"))
-
-
-def disclosing_terms(docs: DataFrame, seen: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of terms that disclose at least `generalise` of an entity."""
-    pairs = seen.select("entity", "near", F.explode("terms").alias("term"))
-    by_place = pairs.groupBy("entity", "term", "near").agg(F.count("*").alias("n"))
+    """(_hash, _text): equal texts have equal hashes."""
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+
+
+def parsed(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """(_hash, seen, terms), a row for each distinct text: its mentions of entities, each with a hash
+    of its surroundings (entity, near), and the lower-case terms outside entities, each once."""
+    texts = _keyed(docs).groupBy("_hash").agg(F.min("_text").alias("_text")).withColumn("_base", F.expr(base_spans()))
+    left = f"case when x.s > {reach} then regexp_replace(substring(_text, x.s - {reach} + 1, {reach}), '^\\\\p{{L}}+', '') else substring(_text, 1, x.s) end"
+    right = f"case when length(_text) - x.e > {reach} then regexp_replace(substring(_text, x.e + 1, {reach}), '\\\\p{{L}}+$', '') else substring(_text, x.e + 1, {reach}) end"
+    seen = f"transform(_base, x -> struct(concat(x.k, ':', lower(substring(_text, x.s + 1, x.e - x.s))) as entity, xxhash64({left}, {right}) as near))"
+    plain = """case when size(_base) = 0 then _text else aggregate(_base, struct(0 as p, '' as o),
+      (a, x) -> case when x.e <= a.p then a else struct(x.e as p, concat(a.o, ' ', substring(_text, a.p + 1, greatest(0, x.s - a.p))) as o) end,
+      a -> concat(a.o, ' ', substring(_text, a.p + 1))) end"""
+    terms = f"array_distinct(regexp_extract_all(lower({plain}), {_sql(_TERM)}, 0))"
+    return texts.select("_hash", F.expr(seen).alias("seen"), F.expr(terms).alias("terms"))
+
+
+def disclosing_terms(texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """parsed() -> (entity, term, share) of terms that disclose at least `generalise` of an entity."""
+    each = texts.where("size(seen) > 0").select("_hash", F.explode("seen").alias("m")).groupBy("_hash", "m.entity").agg(F.min("m.near").alias("near"))
+    each = materialize(each, "mentions")
+    near = each.groupBy("entity", "near").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("c_e"), F.count("*").alias("places"))
+    # No pair of an entity of fewer surroundings can have enough.
+    known = materialize(near.where(F.col("places") >= support).select("entity", "c_e"), "entities")
+    held = each.join(known.select("entity"), "entity").join(texts.where("size(seen) > 0").select("_hash", "terms"), "_hash")
+    by_place = held.select("entity", "near", F.explode("terms").alias("term")).groupBy("entity", "term", "near").agg(F.count("*").alias("n"))
     both = by_place.groupBy("entity", "term").agg(F.sum("n").alias("c_et"), F.count("*").alias("places")).where(F.col("places") >= support)
     both = materialize(both, "pairs")
-    near = seen.groupBy("entity").agg(F.sum(F.size("terms")).alias("c_e"))
-    tokens = _keyed(docs).select(F.explode(F.expr(f"regexp_extract_all(lower(_text), {_sql(_TERM)}, 0)")).alias("term"))
-    counts = materialize(tokens.groupBy("term").agg(F.count("*").alias("c_t")), "terms")
-    total = counts.agg(F.sum("c_t")).first()[0] or 0
+    counts = materialize(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c_t")), "terms")
+    total = texts.count()
     if not total:
         return both.select("entity", "term", F.lit(0.0).alias("share")).where("false")
-    scored = both.join(counts, "term").join(near, "entity").where(F.col("c_e") < total)
+    scored = both.join(counts, "term").join(known, "entity").where(F.col("c_e") < total)
     n = F.log(F.lit(float(total)))
     share = (F.log("c_et") + n - F.log("c_e") - F.log("c_t")) / (n - F.log("c_e"))
     return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
@@ -124,15 +125,15 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise
 
     k numbers KINDS; gone marks a term to be removed.  Term spans lie outside entities.  Repeated
     rows get equal spans.  An empty table gives an empty table."""
-    seen = materialize(mentions(docs, reach), "mentions")
-    found = disclosing_terms(docs, seen, support, generalise)
-    hit = seen.select("_id", "_hash", "entity").distinct().join(found, "entity")
-    hit = hit.groupBy("_id", "_hash", "term").agg(F.max("share").alias("share"))
-    hit = hit.groupBy("_id", "_hash").agg(F.collect_list("term").alias("terms"), F.expr(f"collect_list(case when share >= {remove} then term end)").alias("gone"))
-    hit = materialize(hit, "disclosing").select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "terms", "gone")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    texts = materialize(parsed(docs, reach), "texts")
+    found = disclosing_terms(texts, support, generalise).groupBy("term").agg(F.max("share").alias("share"))
+    found = materialize(found, "disclosing")
+    hit = texts.select("_hash", F.explode("terms").alias("term")).join(found, "term")
+    hit = hit.groupBy("_hash").agg(F.collect_list("term").alias("terms"), F.expr(f"collect_list(case when share >= {remove} then term end)").alias("gone"))
+    hit = materialize(hit, "hit").withColumnRenamed("_hash", "_hash2")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     held = held.withColumn("_hash", F.xxhash64("_text"))
-    both = held.join(hit, held["_id"].eqNullSafe(hit["_id2"]) & (held["_hash"] == hit["_hash2"]), "left")
+    both = held.join(hit, held["_hash"] == hit["_hash2"], "left")
     both = both.withColumn("_base", F.expr(base_spans()))
     words = f"""transform({_matches('_text', _TERM, 'array_contains(terms, lower(x.m))')}, x -> struct(x.s as s, 4 as k, x.s + length(x.m) as e, array_contains(gone, lower(x.m)) as gone))"""
     terms = f"case when terms is null then cast(array() as array<struct<s: int, k: int, e: int, gone: boolean>>) else filter({words}, w -> not exists(_base, b -> w.s < b.e and b.s < w.e)) end"
