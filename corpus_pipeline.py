@@ -26,16 +26,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id.
+    """One row of each group of near copies: that with the smallest doc_id.
 
     Near copies are texts of a five-word Jaccard likeness of 0.8 or more, and what such links
-    connect (op8's query has its own size and radius).  The ids that go are fewer than those that
-    stay, so they are what the texts are held against; a row without an id stays."""
+    connect (op8's query has its own size and radius).  Rows go by doc_id and text: an id that two
+    different texts share stands for two documents, of which each stays or goes by its own group;
+    in one group the one with the smaller hash of its text stays.  Of rows of one id and text, the
+    one whose columns are least stays.  A null id is greater than any other.
+
+    The ids that go are fewer than those that stay, so they are what the texts are held against."""
     copies = materialize(nearcopies.near_copies(docs), "copies")
-    groups = copies.groupBy("group").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    gone = copies.join(groups, "group").where(F.col("doc_id") != F.col("first_id")).select("doc_id").distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    groups = copies.groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Of each group's rows: those that go, and the one that stays if it is repeated.
+    rows = copies.join(groups, "group").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.count("*").alias("_n"), F.first(row == F.col("first")).alias("_stays")
+    )
+    gone = materialize(rows.where("not _stays or _n > 1").select("_id", "_key", "_stays"), "gone")
+    held = docs.withColumn("_k", nearcopies.text_key())
+    same = held["doc_id"].eqNullSafe(gone["_id"]) & (held["_k"] == gone["_key"])
+    rest = held.join(gone, same, "left_anti").select(*docs.columns)
+    repeated = held.join(gone.where("_stays"), same).groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rest.unionByName(repeated.select("_row.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

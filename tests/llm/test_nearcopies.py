@@ -42,3 +42,13 @@ def test_near_stage_removes_near_copies(spark):
     rows = [(1, text(200), "s"), (2, text(200, (20, 60, 100, 140)), "s"), (3, text(200, (), "v"), "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted(r["doc_id"] for r in p.near_stage(spark, df, "").collect()) == [1, 3]
+
+
+def test_near_stage_goes_by_rows(spark):
+    """An id that two texts share, equal rows, and copies without an id."""
+    import corpus_pipeline as p
+
+    a, b, c, d = (text(200, (), of) for of in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, p.near_stage(spark, df, "").collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, d)], key=str)

@@ -61,7 +61,7 @@ def _node(held: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(held.tobytes(), 42), "big", signed=True)
 
 
-def _key(text: str = "text") -> F.Column:
+def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
@@ -119,7 +119,7 @@ def near_copies(docs: DataFrame, least: float = LIKENESS, size: int = SHINGLE) -
             sets = [shingles(t, size) for t in s]
             yield pd.DataFrame({"node": pd.Series([_node(x) for x in sets], dtype="int64"), "bands": pd.Series([bands(x) for x in sets], dtype=object)})
 
-    own = docs.select("doc_id", _key().alias("key"), sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "key", "s.node", "s.bands")
+    own = docs.select("doc_id", text_key().alias("key"), sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "key", "s.node", "s.bands")
     own = materialize(own, "sketches")
     classes = materialize(own.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands")), "classes")
     pairs = materialize(_candidates(classes), "candidates")
