@@ -47,3 +47,9 @@ def test_small_hosts_lose_their_boilerplate(spark):
     rows += [(100 + i, "\n".join(["menu"] * (i < 4) + ["bar"] * (i < 3) + [f"own {100 + i}"]), "c") for i in range(40)]
     out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert [out[i] for i in (0, 2, 10, 100, 103)] == ["own 0", "own 2", "menu\nown 10", "bar\nown 100", "own 103"]
+
+
+def test_carriage_returns_and_tabs_at_the_ends(spark):
+    rows = [(i, f"{'menu' + end}\nown {i}\n\t\r", "a") for i, end in enumerate(["", "\r", "\t", " \r", "\x0b\x0c"])]
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["text"] for r in out} == {f"own {i}\n\t\r" for i in range(5)}

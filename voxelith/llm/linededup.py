@@ -16,6 +16,9 @@ RATIO = 0.08
 MIN_PAGES = 3
 #: The floor of op6's query, which its SQL fixes; on hosts of under 113 pages it, not the ratio, decides.
 QUERY_MIN_PAGES = 10
+#: White space at a line's ends: space and U+0009 to U+000D; of op6's query, as its SQL has it, space.
+ENDS = " \t\n\x0b\x0c\r"
+QUERY_ENDS = " "
 
 
 def url_host(url: Column) -> Column:
@@ -28,21 +31,21 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, ends: str = ENDS) -> DataFrame:
     """pages(host, text) -> (host, lines): each host's boilerplate lines by 64-bit hash, hosts that
     have none left out.
 
-    A page counts once for a line, however often it has it.  Lines are compared without white
-    space at their ends; blank lines are never boilerplate.  A host has at most its mean number of
+    A page counts once for a line, however often it has it.  Lines are compared without the
+    characters `ends` at their ends; blank lines are never boilerplate.  A host has at most its mean number of
     lines a page, divided by ratio, of such lines, so the arrays do not grow with the pages."""
     totals = pages.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("n_pages"))
-    each = pages.select("host", F.explode(F.array_distinct(F.transform(_lines("text"), lambda x: F.trim(x)))).alias("line")).where("line <> ''")
+    each = pages.select("host", F.explode(F.array_distinct(F.transform(_lines("text"), lambda x: F.trim(x, F.lit(ends))))).alias("line")).where("line <> ''")
     counts = each.groupBy("host", F.xxhash64("line").alias("line")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     found = counts.join(totals, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > ratio * F.col("n_pages"))
     return found.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def line_dedup(docs: DataFrame, host: Column | str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(docs: DataFrame, host: Column | str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, ends: str = ENDS) -> DataFrame:
     """docs with boilerplate lines dropped from `text`, all other columns as they were, and the
     columns n_lines and n_dropped after them.
 
@@ -52,14 +55,14 @@ def line_dedup(docs: DataFrame, host: Column | str = "source", text: str = "text
     n_lines or n_dropped are replaced; no other name can clash."""
     host = F.col(host) if isinstance(host, str) else host
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), host.alias("host"), F.col(text).alias("text"))
-    found = materialize(boilerplate(held.select("host", "text"), ratio, min_pages), "boilerplate").withColumnRenamed("host", "_host")
+    found = materialize(boilerplate(held.select("host", "text"), ratio, min_pages, ends), "boilerplate").withColumnRenamed("host", "_host")
     both = held.join(found, F.col("host").eqNullSafe(F.col("_host")), "left")
     kept = F.when(F.col("lines").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(F.trim(x)))), "\n")
+        F.array_join(F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(F.trim(x, F.lit(ends))))), "\n")
     )
     both = both.withColumn("_kept", kept).withColumn("_n", F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long"))
     dropped = F.when(F.col("lines").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(_lines(F.col("text")), lambda x: F.array_contains(F.col("lines"), F.xxhash64(F.trim(x)))))
+        F.size(F.filter(_lines(F.col("text")), lambda x: F.array_contains(F.col("lines"), F.xxhash64(F.trim(x, F.lit(ends))))))
     )
     cols = [F.col("_kept").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return both.select(*cols, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -42,7 +42,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(_read(spark, sf_dir, "documents"), min_pages=linededup.QUERY_MIN_PAGES).select("doc_id", "source", "n_lines", "n_dropped", "text")
+    out = linededup.line_dedup(_read(spark, sf_dir, "documents"), min_pages=linededup.QUERY_MIN_PAGES, ends=linededup.QUERY_ENDS)
+    return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
