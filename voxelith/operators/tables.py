@@ -6,18 +6,39 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the folder that spark.checkpoint.dir names and read it back.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that the session names in spark.checkpoint.dir.
 
-    Cuts the lineage and survives lost executors; where the setting is absent a local folder is set."""
-    spark = df.sparkSession
+    Where the setting is absent, a session on one machine (master local) gets a temporary folder;
+    on a cluster that is an error, as executors do not share their disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "voxelith-tables")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/voxelith/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/voxelith/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts the lineage, survives lost
+    executors, and gives the planner a measured size.  `discard` deletes it."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` made and that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "scratch_path", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
