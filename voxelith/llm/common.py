@@ -1,36 +1,20 @@
-"""What the operators of this subpackage share: scratch tables, words, row keys."""
+"""What the operators of this subpackage share: scratch tables, words, bounded broadcasts."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words: space and U+0009 to U+000D.
-WORD_BREAK = r"[ \t-\r]+"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that the session names in spark.checkpoint.dir.
-
-    Where the setting is absent (tests, one machine) a local folder is set once."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "voxelith-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/voxelith/{name}-{uuid.uuid4().hex}"
+from voxelith.operators.tables import discard, materialize, scratch
 
+__all__ = ["discard", "fewer_bytes", "hot_join", "materialize", "partitions", "scratch", "words"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost
-    executors, and gives the planner a measured size."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Characters that separate words: space and U+0009 to U+000D.
+WORD_BREAK = r"[ \t-\r]+"
+#: A key is hot if it has over one row in so many; so there are fewer hot keys than this.
+HOT_SHARE = 1000
 
 
 def words(text: Column) -> Column:
@@ -40,3 +24,27 @@ def words(text: Column) -> Column:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+@contextmanager
+def fewer_bytes(spark: SparkSession, most: int):
+    """Within this block, Arrow batches to Python end at about `most` bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def hot_join(rows: DataFrame, keys: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """rows joined with keys(on, count, ...), which has one row for each value of `on` in rows and in
+    `count` its number of rows, out of `total`.
+
+    Keys of over total / HOT_SHARE rows are fewer than HOT_SHARE, whatever the input, and are
+    broadcast; all others go by shuffle, where none is large."""
+    hot = F.col(count) * HOT_SHARE > F.lit(total)
+    few = keys.where(hot)
+    rest = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(keys.where(~hot), on)
+    return rows.join(F.broadcast(few), on).unionByName(rest).drop(count)

@@ -20,20 +20,40 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import fewer_bytes, materialize, scratch
 
 #: Bytes of records in a frame and compressed bytes in a bundle, about; a longer record has a frame
 #: of its own.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
+#: Bytes of pages that reach Python at once, and of records that one task reads back, about.
+BATCH_BYTES = 4 << 20
+READ_BYTES = 32 << 20
 #: Fixed values of the Zstandard seekable format and of WARC 1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Names that Hadoop and pyarrow have for the same store.
+_SAME_STORE = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasbs": "abfss", "wasb": "abfs"}
+_stores: dict[str, fs.FileSystem] = {}
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    """The file system of uri, one for each store and worker, and the path there."""
+    if uri.startswith("dbfs:"):
+        uri = "file:///dbfs/" + uri.removeprefix("dbfs:").lstrip("/")
+    kind, _, rest = uri.partition("://")
+    if not rest:
+        kind, rest = "file", uri.removeprefix("file:")
+    kind = _SAME_STORE.get(kind, kind)
+    store = f"{kind}://{'' if kind == 'file' else rest.split('/')[0]}"
+    found, path = (_stores[store], None) if store in _stores else fs.FileSystem.from_uri(f"{kind}://{rest}")
+    _stores[store] = found
+    if path is None:
+        path = rest if kind in ("file", "s3", "gs") else fs.FileSystem.from_uri(f"{kind}://{rest}")[1]
+    return found, path
 
 
 def digest(payload: bytes) -> str:
@@ -41,9 +61,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record.  A revisit keeps the HTTP headers, with the payload's length, and leaves
-    out the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, sha: bytes | None = None) -> bytes:
+    """One WARC record; sha is the payload's SHA-1, if known.  A revisit keeps the HTTP headers, with
+    the payload's length, and leaves out the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     name = page_id if page_id is not None else f"null-{uuid.uuid4().hex}"
@@ -52,7 +72,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) for c in url))
     if refers_to is not None:
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode() if sha else digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -143,38 +163,45 @@ class BundleReader:
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
 
 
+def revisits(keys: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """keys(page_id, sha, bytes) -> (page_id, sha, refers_to) of the records that revisit another,
+    each once.  Payloads take no part: a digest and a number stand for them."""
+    groups = keys.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+    groups = groups.where("n > 1 and refers_to is not null").select("sha", "refers_to")
+    return keys.join(groups, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha", "refers_to").distinct()
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write pages(page_id, url, html, ...) as WARC bundles; returns their index, one row a record.
 
     Of pages with equal payloads of at least min_bytes bytes, that with the smallest page_id is
     the response, and the others revisit it.  A null html is an empty payload.  Rows with the same
     page_id and payload as the response are responses too.  A page whose page_id is null is a
-    response unless another page has its payload.  The payload's digest finds equal payloads; of a
-    group only the smallest id crosses the shuffle, once a task."""
+    response unless another page has its payload.  An empty table gives an empty index.  Other
+    columns of pages are ignored, whatever their names.
+
+    Which record revisits which is settled from (page_id, digest, size) alone; only that verdict is
+    joined to the pages, so a common payload is no common key of a join that carries payloads."""
+    spark = pages.sparkSession
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")
     )
     own = own.withColumn("sha", F.unhex(F.sha1("payload")))
-    groups = own.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
-    groups = materialize(groups.select("sha", "first_id"), "payloads")
-    found = own.join(groups, "sha", "left")
-    refers = F.when(F.octet_length("payload") < min_bytes, None).when(F.col("page_id").eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id"))
-    found = found.select("page_id", "url", "payload", refers.alias("refers_to"))
+    keys = materialize(own.select("page_id", "sha", F.octet_length("payload").cast("long").alias("bytes")), "digests")
+    verdict = materialize(revisits(keys, min_bytes), "revisits").select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "refers_to")
+    found = own.join(verdict, own["page_id"].eqNullSafe(verdict["_page"]) & (own["sha"] == verdict["_sha"]), "left")
+    found = found.select("page_id", "url", "payload", "sha", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = BundleWriter(folder, frame_bytes)
-        rows = []
         for batch in batches:
-            ids, urls, refs = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for page, url, payload, ref in zip(ids, urls, batch.column(2), refs, strict=True):
-                rows.append((page, *writer.add(record(page, url, payload.as_py(), ref))))
-            if len(rows) >= 100_000:
-                yield _batch(rows, INDEX)
-                rows = []
+            ids, urls, shas, refs = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            rows = [(page, *writer.add(record(page, url, payload.as_py(), ref, sha))) for page, url, payload, sha, ref in zip(ids, urls, batch.column(2), shas, refs, strict=True)]
+            yield _batch(rows, INDEX)
         writer.close()
-        yield _batch(rows, INDEX)
 
-    return materialize(found.mapInArrow(write, INDEX), "index")
+    with fewer_bytes(spark, BATCH_BYTES):
+        return materialize(found.mapInArrow(write, INDEX), "index")
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -197,7 +224,11 @@ def _number(urn: str | None) -> int | None:
 def read_archives(spark: SparkSession, index: DataFrame, payloads: bool = True) -> DataFrame:
     """Read every record of the bundles in index back, frame by frame, and check its digest.
 
-    With payloads=False the payload column is left null."""
+    With payloads=False the payload column is left null.  Frames are dealt to tasks by their bytes,
+    runs of neighbouring frames of a bundle together; a task holds one frame.  An empty index gives
+    an empty table; a record that is not as the index or its digest has it is an error."""
+    run = max(1, READ_BYTES // (4 * FRAME_BYTES))
+    total = index.agg(F.sum("length")).first()[0] or 0
     frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +251,16 @@ def read_archives(spark: SparkSession, index: DataFrame, payloads: bool = True)
                     raise ValueError(f"{uri}, frame {frame}: {len(rows)} records, the index has {n}")
                 yield _batch(rows, RECORDS)
 
-    # A bundle's frames stay together and in order, so each bundle is opened once a task.
-    dealt = frames.repartition("bundle").sortWithinPartitions("bundle", "frame")
+    # The number of tasks follows the archives' bytes: index rows are too small for Spark to tell.
+    dealt = frames.repartition(1 + total // READ_BYTES, "bundle", F.floor(F.col("frame") / run)).sortWithinPartitions("bundle", "frame")
     return dealt.mapInArrow(read, RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Write pages as archives and return what reading them back gives, without payloads."""
+    """Write pages(page_id, url, html, ...) as archives and return what reading them back gives,
+    (page_id, payload_bytes, payload_digest, record_type, refers_to), a row for each row of pages.
+
+    Nulls, empty and repeated rows as in `write_archives`; an empty table gives an empty table."""
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     return read_archives(spark, write_archives(pages, folder, min_bytes), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
