@@ -46,23 +46,57 @@ def test_pack(docs, odd, empty, tok, cap):
     assert packing.pack(empty, PATH).count() == 0
 
 
-def test_plan_is_best_fit():
+def best_fit_decreasing(lengths, cap):
+    bins = []
+    for x in sorted(map(int, lengths), reverse=True):
+        fit = min((b for b in range(len(bins)) if bins[b] >= x), key=lambda b: bins[b], default=None)
+        if fit is None:
+            bins.append(cap - x)
+        else:
+            bins[fit] -= x
+    return len(bins)
+
+
+def test_supersteps_pack_as_well_as_best_fit_decreasing(spark):
     rng = np.random.default_rng(1)
-    for lengths in (rng.integers(1, 101, 3000), rng.integers(30, 60, 999), np.full(77, 51), np.array([100]), np.ones(7, int)):
-        counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
-        bins = []  # best fit, longest first
-        for x in sorted(map(int, lengths), reverse=True):
-            fit = min((b for b in range(len(bins)) if bins[b] >= x), key=lambda b: bins[b], default=None)
-            if fit is None:
-                bins.append(100 - x)
-            else:
-                bins[fit] -= x
-        used = set()
-        for n, (rank, each, first, begin) in packing.plan(counts, 100).items():
-            r = np.arange(counts[n])
-            run = np.searchsorted(rank, r, "right") - 1
-            used.update((first[run] + (r - rank[run]) // each[run]).tolist())
-        assert len(used) <= len(bins)
+    for lengths in (rng.integers(1, 101, 3000), rng.integers(30, 60, 999), np.full(77, 51), np.array([100]), np.ones(7, int), rng.integers(1, 9, 2000)):
+        items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id long, length long").repartition(4)
+        got = packing.best_fit(items, 100).collect()
+        assert sorted((r["id"], r["length"]) for r in got) == list(enumerate(map(int, lengths)))
+        held = {}
+        for r in got:
+            held[r["seq"]] = held.get(r["seq"], 0) + r["length"]
+        assert max(held.values()) <= 100
+        assert len(held) <= 1.03 * best_fit_decreasing(lengths, 100) + 2
+
+
+def sweep(items):
+    """A stack in place of numbers: upwards, a gap takes the latest pieces."""
+    stack, out = [], {}
+    for size, kind, i, w in sorted(items):
+        if kind == 0:
+            stack.append(i)
+        else:
+            for _ in range(min(-w, len(stack))):
+                out[stack.pop()] = i
+    return out
+
+
+def test_a_sweep_is_that_of_a_stack(spark):
+    rng = np.random.default_rng(2)
+    for n, m in ((400, 300), (50, 400), (400, 20), (1, 1)):
+        rest = [(i, int(x)) for i, x in enumerate(rng.integers(5, 21, n))]
+        gaps = [(1000 + i, int(x)) for i, x in enumerate(rng.integers(1, 70, m))]
+        short, long = min(x for _, x in rest), max(x for _, x in rest)
+        a = spark.createDataFrame(rest, "id long, length long").repartition(5)
+        b = spark.createDataFrame(gaps, "seq long, gap long").repartition(5)
+        items = [(x, 0, i, 1) for i, x in rest] + [(g, 1, s, -max(1, g // long)) for s, g in gaps if g >= short]
+        got = {r["id"]: r["seq"] for r in packing.match(a, b, short, long).collect() if r["seq"] is not None}
+        assert got == sweep(items)
+
+
+def test_ranges_need_two_numbers_of_each_other():
+    assert packing.left_over([(0, 3, 0), (1, -5, -5), (2, 4, -1), (3, -2, -2)]) == [(0, 0), (1, 3), (2, 0), (3, 5)]
 
 
 def test_tokenizer_is_the_tokenizer(rows, tok):

@@ -1,19 +1,26 @@
 """Best-fit packing of token sequences, bulk-synchronously.
 
-Documents are tokenised once; each piece carries its rank among the pieces of its length (a rank
-within its block, plus the counts of earlier blocks).  Lengths are whole numbers of at most
-`capacity`, so the range-sorted documents and the range-sorted gaps are both runs of equal values,
-and a superstep works on runs: the longest unplaced run sweeps the successor gaps in ascending
-order, runs that want the same gaps are resolved by rank, gaps are updated, and the next superstep
-begins.  What the driver holds are the runs (a count for each length), whose number does not
-depend on the number of documents.  The executors then look up each piece's place by its rank.
+Documents are tokenised once and cut into pieces; a sequence that is not full is a gap.  Pieces go by
+bands of lengths, the longest band first.  A superstep over a band's pieces and the gaps
+
+  1. range-sorts pieces and gaps together by size, pieces first where sizes are equal;
+  2. sweeps each range upwards, as if pieces were opening and gaps closing brackets: a gap takes the
+     longest piece below it that no smaller gap has taken, so each piece goes to its successor gap.
+     Of another range a sweep needs the number of pieces left over alone, two numbers a range;
+  3. resolves conflicts by rank: pieces left over below a place are numbered, the gap there takes the
+     last numbers, and piece and gap of one number meet in a shuffle by that number.  A gap that holds
+     several of the band's longest pieces takes as many at once;
+  4. updates the gaps.
+
+Supersteps repeat while any gap holds any of the band's pieces; what then is left of the band opens
+new sequences, each range by itself in descending order, and their gaps serve the shorter bands.
+Each superstep is written to the shared folder.  The driver holds two numbers a range.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Texts of these characters alone are split and lower-cased by Python's re with the same result as
 #: by the tokenizer: ASCII without control characters and apostrophe, and the letters U+00DF to
@@ -94,20 +101,16 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, local_rank long"
+PIECES = "id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """docs(doc_id, text, ...) -> a row for each piece of at most capacity tokens.
-
-    block names the task that made the row; local_rank counts the earlier pieces of the same
-    length in that block."""
+    """docs(doc_id, text, ...) -> a row for each piece of at most capacity tokens, with an id of its own."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(path)
         ended = np.array([end_id], "<u4").tobytes()
-        block = TaskContext.get().partitionId()
-        ranks = np.zeros(capacity + 1, np.int64)
+        number = TaskContext.get().partitionId() << 36
         step = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
@@ -115,104 +118,149 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
                 ids = encode(text.as_py() or "") + ended
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    n = len(part) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), block, int(ranks[n])))
-                    ranks[n] += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int32()] + [pa.int64()] * 5
+                    rows.append((number, doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    number += 1
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int = 4096) -> dict[int, list[np.ndarray]]:
-    """Place counts[length] pieces of each length.
-
-    Returns for each length the arrays (first rank, pieces a sequence, first sequence, offset), a
-    row for each run of like sequences, by ascending first rank: the piece of rank r in the run
-    goes to sequence first + (r - rank) // each, at offset + ((r - rank) % each) * length."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, sequences)
-    order: list[int] = []  # the gaps that have runs, ascending
-    made = 0
-    out: dict[int, list[np.ndarray]] = {}
-
-    def free(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank, runs, later = counts[length], 0, [], []
-        while left:
-            at = bisect_left(order, length)
-            if at < len(order):
-                gap = order[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-                    order.pop(at)
-            else:
-                gap, first = capacity, made
-                n = -(-left // (capacity // length))
-                made += n
-            each = gap // length
-            full = min(n, left // each)
-            if full:
-                runs.append((rank, each, first, capacity - gap))
-                later.append((gap - each * length, first, full))
-                rank += full * each
-                left -= full * each
-            if full < n:
-                rest = min(left, each)  # fewer than a sequence takes, or nothing
-                if rest:
-                    runs.append((rank, each, first + full, capacity - gap))
-                    later.append((gap - rest * length, first + full, 1))
-                    rank += rest
-                    left -= rest
-                    full += 1
-                if full < n:
-                    later.append((gap, first + full, n - full))
-        for x in later:  # gaps change between supersteps
-            free(*x)
-        out[length] = [np.array(c, np.int64) for c in zip(*runs, strict=True)]
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(low, high]: halves of the capacity and quarters below them."""
+    out, high = [], capacity
+    while high:
+        low = high // (2 if high > capacity // 4 else 4)
+        out.append((low, high))
+        high = low
     return out
 
 
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+SWEPT = "size long, kind int, id long, w long, part int, before long, low long"
+
+
+def swept(items: DataFrame) -> DataFrame:
+    """items(size, kind, id, w) range-sorted by size, kind and id, with the range's number (part), the sum
+    of w before the row in its range (before), and the least of these sums so far (low)."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total, least = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column("w").to_numpy()
+            before = total + np.cumsum(w) - w
+            low = np.minimum(np.minimum.accumulate(before), least)
+            total, least = int(before[-1] + w[-1]), int(low[-1])
+            more = [pa.array(np.full(len(w), part, np.int32)), pa.array(before), pa.array(low)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[x.split()[0] for x in SWEPT.split(", ")])
+
+    order = ["size", "kind", "id"]
+    return items.select(*order, "w").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT)
+
+
+def left_over(sums: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """From (part, sum, least prefix sum) of each range the pieces left over below it."""
+    out, level = [], 0
+    for part, total, least in sorted(sums):
+        out.append((part, level))
+        level += total - min(0, level + least)
+    return out
+
+
+def match(rest: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """One sweep of rest(id, length) and gaps(seq, gap) -> (id, length, seq): each piece with the
+    sequence it goes to, or null.  What is returned is written already."""
+    one = rest.select(F.col("length").alias("size"), F.lit(0).alias("kind"), "id", F.lit(1).cast("long").alias("w"))
+    two = gaps.where(F.col("gap") >= shortest).select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("seq").alias("id"), F.expr(f"-greatest(1, gap div {longest})").alias("w"))
+    items = materialize(swept(one.unionByName(two)), "swept")
+    # A row a range, and so a bounded number of rows for the driver and the broadcast.
+    sums = items.groupBy("part").agg(F.sum("w").alias("t"), F.min(F.least("before", F.col("before") + F.col("w"))).alias("m")).collect()
+    below = rest.sparkSession.createDataFrame(left_over([tuple(r) for r in sums]), "part int, level long")
+    at = items.join(F.broadcast(below), "part").withColumn("n", F.expr("level + before - least(0, level + low)"))
+    at = at.withColumn("n", F.explode(F.expr("case when kind = 0 then array(n + 1) when n > 0 then transform(sequence(0, least(-w, n) - 1), k -> n - k) else cast(array() as array<bigint>) end")))
+    # Pieces and gaps of one number take turns, at most one turn a length.
+    order = Window.partitionBy("n").orderBy("size", "kind", "id")
+    pairs = at.withColumn("k", F.lead("kind").over(order)).withColumn("seq", F.lead("id").over(order)).where("kind = 0")
+    out = materialize(pairs.select("id", F.col("size").alias("length"), F.expr("case when k = 1 then seq end").alias("seq")), "matched")
+    discard(items)
+    return out
+
+
+def opened(rest: DataFrame, capacity: int) -> DataFrame:
+    """rest(id, length) -> (id, length, seq): new sequences, named by their first pieces.  Each range of
+    lengths fills one sequence after the other, the longest pieces first."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, room = -1, 0
+        for batch in batches:
+            ids, lengths = (batch.column(c).to_numpy() for c in ("id", "length"))
+            ends = np.cumsum(lengths)
+            seq, at = np.empty(len(ids), np.int64), 0
+            while at < len(ids):
+                if lengths[at] > room:
+                    name, room = ids[at], capacity
+                stop = int(np.searchsorted(ends, room + (ends[at] - lengths[at]), "right"))
+                seq[at:stop] = name
+                room -= int(ends[stop - 1] - ends[at] + lengths[at])
+                at = stop
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("length"), pa.array(seq)], names=["id", "length", "seq"])
+
+    order = [F.col("length").desc(), F.col("id")]
+    return rest.select("id", "length").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fill, "id long, length long, seq long")
+
+
+def _limits(rest: DataFrame) -> tuple[int, int, int]:
+    r = rest.agg(F.count("*").alias("n"), F.min("length"), F.max("length")).first()
+    return r[0], r[1] or 0, r[2] or 0
+
+
+def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
+    """items(id, length) of unique ids and lengths from 1 to capacity -> (id, length, seq)."""
+    gaps, done = None, []
+    for low, high in bands(capacity):
+        rest = items.where(f"length > {low} and length <= {high}").select("id", "length")
+        n, shortest, longest = _limits(rest)
+        if not n:
+            continue
+        if 2 * shortest > capacity:  # each has a sequence of its own
+            new = rest.withColumn("seq", F.col("id"))
+        else:
+            while n and gaps is not None and (gaps.agg(F.max("gap")).first()[0] or 0) >= shortest:
+                found = match(rest, gaps, shortest, longest)
+                done.append(found.where("seq is not null"))
+                used = done[-1].groupBy("seq").agg(F.sum("length").alias("used"))
+                less = materialize(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
+                discard(gaps)
+                gaps, rest = less, found.where("seq is null").drop("seq")
+                n, shortest, longest = _limits(rest)
+            if not n:
+                continue
+            new = materialize(opened(rest, capacity), "opened")
+        done.append(new)
+        fresh = new.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("gap")).where("gap > 0")
+        more = materialize(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
+        if gaps is not None:
+            discard(gaps)
+        gaps = more
+    if gaps is not None:
+        discard(gaps)
+    out = done[0] if done else items.select("id", "length", F.col("id").alias("seq"))
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    A null or empty text has the end token alone.  Equal lengths are ranked by where their rows
-    lie, so repeated rows get places of their own; a null doc_id stays null.  An empty table gives
-    an empty table.  Other columns are ignored, whatever their names."""
+    A null or empty text has the end token alone.  Pieces have numbers of their own, so repeated rows
+    get places of their own and ties are broken; a null doc_id stays null.  An empty table gives an
+    empty table.  Other columns are ignored, whatever their names."""
     cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
-    by_block = cut.groupBy("length", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = materialize(by_block.select("length", "block", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
-    # At most `capacity` rows come to the driver, whatever the input.
-    counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    placed = plan(counts, capacity)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("rank").to_numpy()
-            seq, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                at = np.nonzero(length == n)[0]
-                first_rank, each, first, begin = placed[int(n)]
-                run = np.searchsorted(first_rank, rank[at], "right") - 1
-                k = rank[at] - first_rank[run]
-                seq[at] = first[run] + k // each[run]
-                offset[at] = begin[run] + k % each[run] * n
-            cols = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(offset)], names=[x.split()[0] for x in PACKED.split(", ")])
-
-    ranked = cut.join(base.select("length", "block", "base"), ["length", "block"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local_rank")).alias("rank")
-    )
-    return ranked.mapInArrow(place, PACKED)
+    placed = best_fit(cut.select("id", "length"), capacity)
+    # A sequence has at most `capacity` pieces.
+    before = Window.partitionBy("seq").orderBy(F.col("length").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
+    places = placed.select("id", F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return cut.join(places, "id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
