@@ -1,23 +1,32 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model is a BPE model, whose merges no sum of piece weights reproduces; so the transducer is
-the composition of
-  - the normaliser (leading space, spaces as U+2581),
-  - the piece transducer: an arc for each piece that merging its characters gives, and for each
-    character without a piece an arc to its byte pieces (byte fallback),
-  - an acceptor of neighbouring pieces, weight zero if merging the two pieces' characters gives the
-    two pieces, infinite otherwise.
-Merging is local, so a sequence of pieces is the model's encoding exactly if all its neighbours
-have weight zero, and the tropical-semiring shortest path is that encoding.  Arcs between
-neighbours are compiled when first met and kept.  Pieces hold U+2581 at their start only, and
-no piece holds a line break, so paths factor at words, and a word's path is kept in a bounded cache.
+Three machines are compiled from a model file and composed with each input:
+
+  normaliser  characters to characters: the space put before a text, spaces as U+2581, and, where
+              the model squeezes them, runs of spaces as one
+  pieces      characters to pieces: a tree whose ends go back to its root, put out a piece and weigh
+              minus its score; a character without a piece puts out its byte pieces instead, at a
+              weight above any piece's
+  neighbours  an acceptor of pieces whose state is the piece before; an arc weighs 0 or infinity
+
+The model is a BPE model, whose merges no sum of piece weights reproduces.  Merging is local, though:
+a sequence of pieces is the model's encoding exactly if each two neighbours stay two when their
+characters are merged, and that is what the acceptor's arcs weigh.  The tropical-semiring shortest
+path through the composition is therefore the encoding.  States are composed when the search meets
+them; arcs of the acceptor are compiled when first met and kept.
+
+Pieces hold U+2581 at their start only, and no piece holds a line break, so paths factor there: an
+input is a chain of segments, and a segment's path from a state of the normaliser is kept in a
+bounded cache.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +37,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _MOST_CACHED = 600_000
 _INFINITE = float("inf")
+#: Stands for every input symbol without an arc of its own, and in an output for that symbol.
+OTHER = "\uffff"
+START, BODY, GAP = 0, 1, 2
+_SEGMENT = re.compile(f"[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+|\n")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -56,6 +69,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def normaliser(prefix: bool, squeeze: bool) -> list[dict[str, tuple[str, float, int]]]:
+    """Arcs by state and input symbol: (output, weight, next state).  Every state is final; a state has
+    one arc for a symbol, so the composition with a chain is a chain."""
+    first = SPACE * prefix
+    if not squeeze:
+        return [
+            {" ": (first + SPACE, 0.0, BODY), OTHER: (first + OTHER, 0.0, BODY)},
+            {" ": (SPACE, 0.0, BODY), OTHER: (OTHER, 0.0, BODY)},
+        ]
+    return [
+        {" ": ("", 0.0, START), OTHER: (first + OTHER, 0.0, BODY)},
+        {" ": ("", 0.0, GAP), OTHER: (OTHER, 0.0, BODY)},
+        {" ": ("", 0.0, GAP), OTHER: (SPACE + OTHER, 0.0, BODY)},
+    ]
+
+
 class Transducer:
     """Encodes and decodes by a model file."""
 
@@ -89,12 +118,16 @@ class Transducer:
         trainer = dict(next((_fields(v) for n, v in message if n == 2), iter(())))
         if spec.get(2) or trainer.get(3, 1) != 2 or len(self.byte_ids) != 256:
             raise ValueError("only BPE models with byte fallback and the identity normaliser are supported")
+        if any(SPACE in t.lstrip(SPACE) or ("\n" in t and t != "\n") for t in self.ids):
+            raise ValueError("a piece crosses the places at which paths factor")
         self.prefix = bool(spec.get(3, 1))
-        self.squeeze = bool(spec.get(4, 1))
+        self.normaliser = normaliser(self.prefix, bool(spec.get(4, 1)))
+        self.steady = all(arc[2] == BODY for arc in self.normaliser[BODY].values())
         self.neighbours: dict[tuple[str, str], float] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
-        self.arcs = self.compile_arcs()
-        self.paths: dict[str, bytes] = {}
+        self.tree, self.ends = self.compile_pieces()
+        self.byte_weight = 1.0 + max(-x for x in self.scores.values())
+        self.paths: list[dict[str, tuple[bytes, int]]] = [{} for _ in self.normaliser]
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best-scored neighbours first, then the leftmost."""
@@ -152,64 +185,114 @@ class Transducer:
             self.neighbours[key] = w
         return w
 
-    def compile_arcs(self) -> dict:
-        """The piece transducer as a tree by characters: a node is [piece or None, its children]."""
-        root: dict = {}
-        for piece in self.ids:
+    def compile_pieces(self) -> tuple[list[dict[str, int]], list[tuple[str, float] | None]]:
+        """The piece transducer: arcs from state to state by character, without output or weight, and
+        of each state the arc back to the root, (piece, weight), if a piece ends there.  Pieces that
+        merging their own characters does not give have no arc."""
+        arcs: list[dict[str, int]] = [{}]
+        ends: list[tuple[str, float] | None] = [None]
+        for piece, score in self.scores.items():
             if len(piece) == 1 or self.merged(piece) == [piece]:
-                node = [None, root]
+                state = 0
                 for c in piece:
-                    node = node[1].setdefault(c, [None, {}])
-                node[0] = piece
-        return root
-
-    def path(self, text: str) -> list[int]:
-        """The ids of the shortest path over text.
-
-        A state is a place in text with the piece that ends there.  At most one piece can end at a
-        place with finite weight, as the encoding of the text up to there is unique."""
-        n, arcs, weight = len(text), self.arcs, self.weight
+                    if c not in arcs[state]:
+                        arcs[state][c] = len(arcs)
+                        arcs.append({})
+                        ends.append(None)
+                    state = arcs[state][c]
+                ends[state] = (piece, -score)
+        return arcs, ends
+
+    def normalised(self, segment: str, state: int) -> tuple[str, float, int]:
+        """The composition of a segment with the normaliser from state: output, weight, state after."""
+        arcs, out, total = self.normaliser, [], 0.0
+        for c in segment:
+            text, weight, state = arcs[state].get(c) or arcs[state][OTHER]
+            out.append(c if text == OTHER else text.replace(OTHER, c))
+            total += weight
+        return "".join(out), total, state
+
+    def shortest(self, text: str) -> tuple[float, list[str]]:
+        """Weight and pieces of the shortest path over normalised text.
+
+        A state of the composition is a place in text with the piece that ends there; `last`, `cost`
+        and `before` hold the first state of a place, its distance and the piece before it, `more` the
+        other ones."""
+        n, tree, ends, neighbours = len(text), self.tree, self.ends, self.neighbours
         last: list[str | None] = [None] * (n + 1)
+        before: list[str | None] = [None] * (n + 1)
+        cost = array("d", [0.0]) + array("d", [_INFINITE]) * n
+        more: dict[int, dict[str, tuple[float, str | None]]] = {}
         for i in range(n):
-            before = last[i]
-            if before is None and i:
+            if i and last[i] is None:
                 continue
-            node = arcs.get(text[i])
-            if node is None:  # bytes; no merge crosses them
-                last[i + 1] = text[i]
-                continue
-            j = i
-            while node is not None:
+            here = [(last[i], cost[i])]
+            if i in more:
+                here += [(p, d) for p, (d, _) in more[i].items()]
+            # The piece transducer's paths from its root at this place back to its root.
+            j, state = i, tree[0].get(text[i])
+            arcs = [] if state is not None and ends[state] is not None else [(text[i], self.byte_weight)]
+            while state is not None:
+                if ends[state] is not None:
+                    arcs.append(ends[state])
                 j += 1
-                piece = node[0]
-                if piece is not None and last[j] is None and (not i or not weight(before, piece)):
-                    last[j] = piece
-                node = node[1].get(text[j]) if j < n else None
-        out: list[list[int]] = []
-        while n:
-            piece = last[n]
-            i = self.ids.get(piece)
-            out.append([i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")])
-            n -= len(piece)
-        return [i for ids in reversed(out) for i in ids]
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return (" " * (self.prefix and bool(text)) + text).replace(" ", SPACE)
+                state = tree[state].get(text[j]) if j < n else None
+            for piece, own in arcs:
+                k = i + len(piece)
+                for known, far in here:
+                    if i:
+                        far += self.weight(known, piece) if (w := neighbours.get((known, piece))) is None else w
+                    far += own
+                    if far == _INFINITE:
+                        continue
+                    if last[k] is None or last[k] == piece:
+                        if far < cost[k]:
+                            last[k], cost[k], before[k] = piece, far, known
+                    elif far < more.setdefault(k, {}).get(piece, (_INFINITE,))[0]:
+                        more[k][piece] = (far, known)
+        if not n:
+            return 0.0, []
+        ends = [(cost[n], last[n])] + [(d, p) for p, (d, _) in more.get(n, {}).items()]
+        total, piece = min(ends)
+        out, at = [], n
+        while at:
+            out.append(piece)
+            known = before[at] if piece == last[at] else more[at][piece][1]
+            at, piece = at - len(piece), known
+        return total, out[::-1]
+
+    def path(self, segment: str, state: int) -> tuple[bytes, int]:
+        """Ids of the shortest path over a segment from a state of the normaliser, and the state after."""
+        known = self.paths[state]
+        found = known.get(segment)
+        if found is None:
+            if len(known) > _MOST_CACHED:
+                known.clear()
+            text, _, after = self.normalised(segment, state)
+            ids: list[int] = []
+            for piece in self.shortest(text)[1]:
+                i = self.ids.get(piece)
+                ids += [i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+            found = known[segment] = struct.pack(f"<{len(ids)}I", *ids), after
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        parts = re.findall(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n", self.normalise(text))
-        paths = self.paths
-        if len(paths) > _MOST_CACHED:
-            paths.clear()
-        for p in set(parts).difference(paths):
-            paths[p] = np.array(self.path(p), "<u4").tobytes()
-        return b"".join(map(paths.__getitem__, parts))
+        parts, out, state = _SEGMENT.findall(text), [], START
+        for k, part in enumerate(parts):
+            if state == BODY and self.steady:  # all that follows starts from this state
+                known, path = self.paths[BODY], self.path
+                for p in set(parts[k:]).difference(known):
+                    path(p, BODY)
+                out += [(known.get(p) or path(p, BODY))[0] for p in parts[k:]]
+                break
+            ids, state = self.path(part, state)
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are not UTF-8 become U+FFFD."""
+        """The text of ids: the piece transducer read from its outputs to its inputs, and the normaliser's
+        first space taken off; bytes that are not UTF-8 become U+FFFD."""
         data = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         if self.prefix and data.startswith(b" "):
             data = data[1:]
@@ -228,7 +311,8 @@ def transducer(path: str) -> Transducer:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, ids array<int>), a row for each row of docs; a null or
-    empty text has no ids, repeated rows stay, an empty table gives an empty table."""
+    empty text has no ids, repeated rows stay, an empty table gives an empty table, and other columns are
+    ignored, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = transducer(path)
@@ -243,7 +327,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
-    """coded(doc_id, ids) -> (doc_id, text); null ids give a null text."""
+    """coded(doc_id, ids, ...) -> (doc_id, text), a row for each row of coded; null ids give a null
+    text, no ids an empty one.  Repeated rows stay, an empty table gives an empty table, and other
+    columns are ignored, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = transducer(path)
@@ -258,8 +344,9 @@ REPORT = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, los
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode each text: the number and CRC-32 of its ids, the SHA-256 of the decoded
-    text, and whether that is the text (null: empty)."""
+    """Encode and decode each text of docs(doc_id, text, ...): the number and CRC-32 of its ids, the
+    SHA-256 of the decoded text, and whether that is the text (null: empty).  A row for each row of docs,
+    repeated ones too; an empty table gives an empty table, and other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = transducer(path)
