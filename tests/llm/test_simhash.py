@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from voxelith.llm import components, simhash
@@ -49,16 +50,30 @@ def test_against_brute_force(docs, odd, empty):
     assert got(empty) == []
 
 
-def test_pairs_over_many_tiles(spark):
+def test_clashing_columns_and_hot_fingerprints(spark):
+    rows = [(i, "the same words in every row", 3, "f") for i in range(3000)] + [(5000 + i, f"own {i} words {i * i} of row {i} here", 1, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int, component_id string").repartition(7)
+    out = simhash.near_duplicates(df)
+    assert out.columns == ["doc_id", "fp", "fingerprint", "component_id"]
+    assert got(df) == brute([r[:2] for r in rows])
+
+
+def test_parts_follow_the_number_of_classes():
+    assert [simhash.parts_for(n, 2) for n in (0, 10**5, 10**9, 10**11)] == [4, 4, 8, 16]
+    assert simhash.parts_for(10**12, 8) < 16  # cells' numbers would not fit
+
+
+@pytest.mark.parametrize("parts", [4, 8, 16])
+def test_pairs_over_many_tiles(spark, parts):
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63, 300)
     near = [int(x) ^ (1 << int(b)) ^ (1 << int(c)) for x, b, c in zip(base, rng.integers(0, 63, 300), rng.integers(0, 63, 300), strict=True)]
     fps = sorted({*map(int, base), *near, *[0, 1, 3, 7, -1, -2]})
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    pairs = {tuple(sorted((r["a"], r["b"]))) for r in simhash.near_pairs(df, tile=4).collect()}
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in simhash.near_pairs(df, tile=4, parts=parts).collect()}
     m = (1 << 64) - 1
     assert pairs == {(x, y) for i, x in enumerate(fps) for y in fps[i + 1 :] if ((x ^ y) & m).bit_count() <= 2}
-    assert simhash.near_pairs(df, tile=4).count() == len(pairs)
+    assert simhash.near_pairs(df, tile=4, parts=parts).count() == len(pairs)
 
 
 def test_components(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,9 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        less = materialize(_star(_star(edges, True), False), "edges")
+        discard(edges)
+        edges = less
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
     ).distinct()

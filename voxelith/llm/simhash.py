@@ -4,11 +4,11 @@ A fingerprint's bit is 1 if it is set in over half of the XXH64 (seed 42) values
 three-word shingles, repeats included.  Equal fingerprints are one class; classes, not documents,
 are compared, so thousands of copies cost one row.
 
-Classes are sorted into cells by the population counts of the fingerprint's four 16-bit words.  Two
-fingerprints within r bits have cells within r of each other (sum of absolute differences), so a
-tile meets only tiles of such cells; all other tile pairs are skipped, which loses nothing.  A
-cell's classes are cut into tiles of bounded size, and a tile pair is compared with numpy
-exclusive-or and bit counts.
+Classes are sorted into cells by the population counts of the fingerprint's parts.  Two fingerprints
+within r bits have cells within r of each other (sum of absolute differences), so a tile meets only
+tiles of such cells; all other tile pairs are skipped, which loses nothing.  The number of parts
+follows the number of classes, so that cells stay small as it grows.  A cell's classes are cut into
+tiles of bounded size, and a tile pair is compared with numpy exclusive-or and bit counts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import materialize
+from .common import discard, hot_join, materialize
 from .components import components
 
 #: Fingerprints in a tile, about; a tile pair needs eight times its square in bytes for a block of rows.
@@ -61,26 +61,45 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select("doc_id", fp("text").alias("fp"))
 
 
-def _near_cells(radius: int) -> list[int]:
-    """Offsets of cell numbers (a base-32 digit for each 16-bit word, 0 to 16) up to radius apart;
-    of each offset and its negative only one."""
+def _near_cells(radius: int, parts: int) -> list[int]:
+    """Offsets of cell numbers (a digit for each part) up to radius apart; of each offset and its
+    negative only one."""
     found = {0}
-    steps = [0]
     for _ in range(radius):
-        steps = [s + d * 32**i for s in steps for i in range(4) for d in (1, -1)]
-        found.update(steps)
+        found |= {s + d * _base(radius, parts) ** i for s in found for i in range(parts) for d in (1, -1)}
     return sorted(x for x in found if x >= 0)
 
 
-def _cell(fp: F.Column) -> F.Column:
-    parts = [F.bit_count(F.shiftright(fp, 16 * i).bitwiseAND(F.lit(65535))).cast("long") * F.lit(32**i) for i in range(4)]
-    return sum(parts[1:], parts[0])
+def _base(radius: int, parts: int) -> int:
+    """A digit holds a part's population count and differences of up to radius without a carry."""
+    return 64 // parts + 2 * radius + 2
 
 
-def near_pairs(classes: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+def _cell(fp: F.Column, radius: int, parts: int) -> F.Column:
+    width = 64 // parts
+    counts = [F.bit_count(F.shiftright(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for i in range(parts)]
+    return sum((c * F.lit(_base(radius, parts) ** i) for i, c in enumerate(counts[1:], 1)), counts[0])
+
+
+def parts_for(classes: int, radius: int) -> int:
+    """4, 8 or 16 parts: those for which comparisons, and rows sent to other cells, cost least.
+
+    Independent bits spread a part's count like a binomial, so a share of 1 / (2 sqrt(pi v)) of pairs
+    agrees in a part of variance v.  A row sent counts as a thousand comparisons."""
+    def cost(parts: int) -> float:
+        cells = (2 * (3.14159 * 16 / parts) ** 0.5) ** parts
+        near = 1.0
+        for k in range(1, radius + 1):
+            near *= 2 * parts / k
+        return near * (classes / cells + 1000)
+
+    return min((n for n in (4, 8, 16) if _base(radius, n) ** n < 2**62), key=cost)
+
+
+def near_pairs(classes: DataFrame, radius: int = 2, tile: int = TILE, parts: int | None = None) -> DataFrame:
     """classes(fp) of distinct fingerprints -> (a, b), every pair at most radius bits apart."""
-    cells = classes.select("fp", _cell(F.col("fp")).alias("cell"))
-    # 17^4 cells at most.
+    parts = parts or parts_for(classes.count(), radius)
+    cells = classes.select("fp", _cell(F.col("fp"), radius, parts).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
     split = sizes.where(F.col("n") > tile).select("cell", F.ceil(F.col("n") / tile).cast("long").alias("tiles"))
     # Only a cell of over `tile` classes is split; its rows are dealt by their own hash.
@@ -88,7 +107,7 @@ def near_pairs(classes: DataFrame, radius: int = 2, tile: int = TILE) -> DataFra
         "fp", "cell", F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), "tiles")).cast("long").alias("tile")
     )
     tiles = materialize(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
-    near = F.array(*[F.lit(x) for x in _near_cells(radius)])
+    near = F.array(*[F.lit(x) for x in _near_cells(radius, parts)])
     left = tiles.select(
         F.col("cell").alias("c1"), F.col("tile").alias("t1"), F.col("fps").alias("f1"), F.explode(F.transform(near, lambda d: F.col("cell") + d)).alias("cell")
     )
@@ -128,13 +147,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, tile: int =
     is not null (null if there is none).  Repeated rows stay repeated.  An empty table gives an
     empty table.  Other columns of docs are ignored, whatever their names."""
     own = materialize(fingerprints(docs, size), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    classes = materialize(classes, "classes")
-    links = near_pairs(classes.select("fp"), radius, tile)
+    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
+    links = materialize(near_pairs(classes.select("fp"), radius, tile), "links")
     roots = components(links)
     # The smallest doc_id of each component of fingerprints.
     linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = linked.join(least, "root").select("fp", "component_id")
-    final = classes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return own.join(final, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    final = classes.join(known, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    final = materialize(final, "components")
+    discard(links)
+    # A fingerprint that many documents share is no task of its own.
+    total = final.agg(F.sum("n")).first()[0] or 0
+    return hot_join(own, final, "fp", "n", total).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
