@@ -63,12 +63,17 @@ def test_parts_follow_the_number_of_classes():
     assert simhash.parts_for(10**12, 8) < 16  # cells' numbers would not fit
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 @pytest.mark.parametrize("parts", [4, 8, 16])
 def test_pairs_over_many_tiles(spark, parts):
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63, 300)
-    near = [int(x) ^ (1 << int(b)) ^ (1 << int(c)) for x, b, c in zip(base, rng.integers(0, 63, 300), rng.integers(0, 63, 300), strict=True)]
-    fps = sorted({*map(int, base), *near, *[0, 1, 3, 7, -1, -2]})
+    near = [(int(x) ^ signed(1 << int(b)) ^ signed(1 << int(c))) for x, b, c in zip(base, rng.integers(0, 64, 300), rng.integers(0, 64, 300), strict=True)]
+    near += [int(x) ^ signed(1 << 63) ^ (1 << k) for k, x in enumerate(base[:60])]
+    fps = sorted({*map(int, base), *near, *[0, 1, 3, 7, -1, -2, signed(1 << 63)]})
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     pairs = {tuple(sorted((r["a"], r["b"]))) for r in simhash.near_pairs(df, tile=4, parts=parts).collect()}
     m = (1 << 64) - 1

@@ -120,8 +120,9 @@ def near_pairs(classes: DataFrame, radius: int = 2, tile: int = TILE, parts: int
             one, two, same = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             a_out, b_out = [], []
             for i in range(batch.num_rows):
-                a = one[i].values.to_numpy(zero_copy_only=False)
-                b = two[i].values.to_numpy(zero_copy_only=False)
+                # Unsigned: of a negative number numpy counts the bits of the absolute value.
+                a = one[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                b = two[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 rows = max(1, 2_000_000 // len(b))
                 for at in range(0, len(a), rows):
                     hit = np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius
@@ -130,8 +131,8 @@ def near_pairs(classes: DataFrame, radius: int = 2, tile: int = TILE, parts: int
                         keep = x + at < y
                         x, y = x[keep], y[keep]
                     if len(x):
-                        a_out.append(a[x + at])
-                        b_out.append(b[y])
+                        a_out.append(a[x + at].view(np.int64))
+                        b_out.append(b[y].view(np.int64))
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
 
