@@ -1,3 +1,4 @@
+import random
 import re
 
 from voxelith.llm import nearcopies
@@ -29,11 +30,75 @@ def test_groups_are_those_of_exact_likeness(spark, odd, empty):
     assert nearcopies.near_copies(empty).count() == 0
 
 
+def exact(rows):
+    """Groups of doc_ids by a search of all pairs."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset([""]))
+    holders, parent = {}, list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = {}
+        for x in s:
+            for j in holders.setdefault(x, []):
+                common[j] = common.get(j, 0) + 1
+            holders[x].append(i)
+        for j, n in common.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def found(df, **how):
+    groups = {}
+    for r in nearcopies.near_copies(df, **how).collect():
+        groups.setdefault(r["group"], []).append(r["doc_id"])
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_groups_of_documents_are_those_of_an_exact_search(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = exact([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert sum(len(g) > 1 for g in want) > 20
+    assert found(df) == want
+    assert found(df, tile=50, rounds=(1, 3, 1 << 40)) == want
+
+
 def test_a_large_group_of_near_copies(spark):
-    """Over FEW members: each edits another two places of one text."""
-    rows = [(i, text(400, (7 * i % 397, 11 * i % 397 + 1))) for i in range(120)]
-    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got.select("group").distinct().count() == 1
+    """Each edits another two places of one text."""
+    rows = [(i, text(400, (7 * i % 397, 11 * i % 397 + 1))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(found(df)) == 1 and len(found(df, tile=40, rounds=(1, 1 << 40))) == 1
+
+
+def test_links_behind_near_ones_that_are_none(spark):
+    """Of texts within the radius most are not alike enough; later rounds come to those that are."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(30):
+        edits = tuple(rng.sample(range(5, 195), 5))  # likeness 0.77 to the base, less to each other
+        rows += [(2 * i, text(200, edits)), (2 * i + 1, text(200, edits[:4] + (edits[4] + 1,)))]
+    want = exact(rows)
+    assert 5 < len(want) < 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in ((1, 2, 4, 1 << 40), (1 << 40,)):
+        assert found(df, radius=60, first=40, rounds=rounds, tile=16) == want
+
+
+def test_odd_columns(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (1, "a b c d e f", 1, "x"), (2, None, 2, "y"), (3, "long " * 300 + "w " * 1_000_000, 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int, key string")
+    assert found(df) == [[1, 1], [2], [3]]
 
 
 def test_near_stage_removes_near_copies(spark):
