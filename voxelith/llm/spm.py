@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_MOST_CACHED = 600_000
+_MOST_CACHED = 800_000
 _INFINITE = float("inf")
 #: Stands for every input symbol without an arc of its own, and in an output for that symbol.
 OTHER = "\uffff"
@@ -85,6 +85,16 @@ def normaliser(prefix: bool, squeeze: bool) -> list[dict[str, tuple[str, float,
     ]
 
 
+def loops(arcs: list[dict[str, tuple[str, float, int]]]) -> dict[int, dict[int, str]]:
+    """Of each state whose arcs all come back to it, without weight and with one symbol for all others:
+    its outputs by character, as str.translate takes them."""
+    return {
+        state: {ord(c): out for c, (out, _, _) in own.items() if c != OTHER}
+        for state, own in enumerate(arcs)
+        if own[OTHER][0] == OTHER and all(to == state and not w for _, w, to in own.values())
+    }
+
+
 class Transducer:
     """Encodes and decodes by a model file."""
 
@@ -123,11 +133,13 @@ class Transducer:
         self.prefix = bool(spec.get(3, 1))
         self.normaliser = normaliser(self.prefix, bool(spec.get(4, 1)))
         self.steady = all(arc[2] == BODY for arc in self.normaliser[BODY].values())
-        self.neighbours: dict[tuple[str, str], float] = {}
+        self.loops = loops(self.normaliser)
+        self.neighbours: dict[str | None, dict[str, float]] = {}
+        self.known_pairs = 0
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
-        self.tree, self.ends = self.compile_pieces()
+        self.root = self.compile_pieces()
         self.byte_weight = 1.0 + max(-x for x in self.scores.values())
-        self.paths: list[dict[str, tuple[bytes, int]]] = [{} for _ in self.normaliser]
+        self.paths: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best-scored neighbours first, then the leftmost."""
@@ -168,12 +180,14 @@ class Transducer:
     def weight(self, a: str, b: str) -> float:
         """Of piece b after piece a: infinite if merging would join parts of the two before both
         are complete or afterwards.  Of equal scores the leftmost merge comes first."""
-        key = (a, b)
-        w = self.neighbours.get(key)
+        row = self.neighbours.get(a)
+        if row is None:
+            row = self.neighbours[a] = {}
+        w = row.get(b)
         if w is None:
-            if len(self.neighbours) > _MOST_CACHED:
-                self.neighbours.clear()
-            if a[-1] == b[0] == SPACE:  # runs of spaces have equal scores
+            if a is None:  # the acceptor's first state takes any piece
+                w = 0.0
+            elif a[-1] == b[0] == SPACE:  # runs of spaces have equal scores
                 w = 0.0 if self.merged(a + b) == [a, b] else _INFINITE
             else:
                 w, scores, left = 0.0, self.scores, self.edge(b, 0)
@@ -182,109 +196,93 @@ class Transducer:
                         s = scores.get(x + y)
                         if s is not None and s > taken_x and s >= taken_y:
                             w = _INFINITE
-            self.neighbours[key] = w
+            row[b] = w
+            self.known_pairs += 1
         return w
 
-    def compile_pieces(self) -> tuple[list[dict[str, int]], list[tuple[str, float] | None]]:
-        """The piece transducer: arcs from state to state by character, without output or weight, and
-        of each state the arc back to the root, (piece, weight), if a piece ends there.  Pieces that
-        merging their own characters does not give have no arc."""
-        arcs: list[dict[str, int]] = [{}]
-        ends: list[tuple[str, float] | None] = [None]
+    def compile_pieces(self) -> dict:
+        """The piece transducer's root: arcs by character.  A state is (the arc back to the root, as
+        (piece, weight), if a piece ends there; its arcs by character).  Pieces that merging their own
+        characters does not give have no arc."""
+        root: dict = {}
         for piece, score in self.scores.items():
             if len(piece) == 1 or self.merged(piece) == [piece]:
-                state = 0
+                state = [None, root]
                 for c in piece:
-                    if c not in arcs[state]:
-                        arcs[state][c] = len(arcs)
-                        arcs.append({})
-                        ends.append(None)
-                    state = arcs[state][c]
-                ends[state] = (piece, -score)
-        return arcs, ends
+                    state = state[1].setdefault(c, [None, {}])
+                state[0] = (piece, -score)
+        return root
 
     def normalised(self, segment: str, state: int) -> tuple[str, float, int]:
         """The composition of a segment with the normaliser from state: output, weight, state after."""
+        if state in self.loops:
+            return segment.translate(self.loops[state]), 0.0, state
         arcs, out, total = self.normaliser, [], 0.0
         for c in segment:
             text, weight, state = arcs[state].get(c) or arcs[state][OTHER]
-            out.append(c if text == OTHER else text.replace(OTHER, c))
+            out.append(text.replace(OTHER, c))
             total += weight
         return "".join(out), total, state
 
     def shortest(self, text: str) -> tuple[float, list[str]]:
-        """Weight and pieces of the shortest path over normalised text.
+        """Weight and pieces of the shortest path over normalised text, by relaxation from left to right.
 
-        A state of the composition is a place in text with the piece that ends there; `last`, `cost`
-        and `before` hold the first state of a place, its distance and the piece before it, `more` the
-        other ones."""
-        n, tree, ends, neighbours = len(text), self.tree, self.ends, self.neighbours
+        A state of the composition is a place in text with the piece that ends there, which is the
+        acceptor's state.  Paths of finite weight to a place are encodings of the text before it, so
+        they end with the same piece, and a place keeps the state that is nearest: its piece (last) and
+        distance (cost).  An arc that cannot come nearer is not composed with the acceptor."""
+        n, root, neighbours, weight = len(text), self.root, self.neighbours, self.weight
         last: list[str | None] = [None] * (n + 1)
-        before: list[str | None] = [None] * (n + 1)
-        cost = array("d", [0.0]) + array("d", [_INFINITE]) * n
-        more: dict[int, dict[str, tuple[float, str | None]]] = {}
+        cost = [_INFINITE] * (n + 1) if n < 4096 else array("d", [_INFINITE]) * (n + 1)
+        cost[0] = 0.0
         for i in range(n):
-            if i and last[i] is None:
+            far = cost[i]
+            if far == _INFINITE:
                 continue
-            here = [(last[i], cost[i])]
-            if i in more:
-                here += [(p, d) for p, (d, _) in more[i].items()]
-            # The piece transducer's paths from its root at this place back to its root.
-            j, state = i, tree[0].get(text[i])
-            arcs = [] if state is not None and ends[state] is not None else [(text[i], self.byte_weight)]
+            known = last[i]
+            row = neighbours.get(known, {})
+            state, k = root.get(text[i]), i
+            if state is None or state[0] is None:  # its bytes are put out when the path is read
+                state = [(text[i], self.byte_weight), {} if state is None else state[1]]
             while state is not None:
-                if ends[state] is not None:
-                    arcs.append(ends[state])
-                j += 1
-                state = tree[state].get(text[j]) if j < n else None
-            for piece, own in arcs:
-                k = i + len(piece)
-                for known, far in here:
-                    if i:
-                        far += self.weight(known, piece) if (w := neighbours.get((known, piece))) is None else w
-                    far += own
-                    if far == _INFINITE:
-                        continue
-                    if last[k] is None or last[k] == piece:
-                        if far < cost[k]:
-                            last[k], cost[k], before[k] = piece, far, known
-                    elif far < more.setdefault(k, {}).get(piece, (_INFINITE,))[0]:
-                        more[k][piece] = (far, known)
-        if not n:
-            return 0.0, []
-        ends = [(cost[n], last[n])] + [(d, p) for p, (d, _) in more.get(n, {}).items()]
-        total, piece = min(ends)
+                k += 1
+                arc = state[0]
+                if arc is not None and far + arc[1] < cost[k]:
+                    piece = arc[0]
+                    w = row.get(piece)
+                    total = far + arc[1] + (weight(known, piece) if w is None else w)
+                    if total < cost[k]:
+                        last[k], cost[k] = piece, total
+                state = state[1].get(text[k]) if k < n else None
         out, at = [], n
         while at:
-            out.append(piece)
-            known = before[at] if piece == last[at] else more[at][piece][1]
-            at, piece = at - len(piece), known
-        return total, out[::-1]
+            out.append(last[at])
+            at -= len(last[at])
+        return cost[n], out[::-1]
 
     def path(self, segment: str, state: int) -> tuple[bytes, int]:
         """Ids of the shortest path over a segment from a state of the normaliser, and the state after."""
-        known = self.paths[state]
-        found = known.get(segment)
-        if found is None:
-            if len(known) > _MOST_CACHED:
-                known.clear()
-            text, _, after = self.normalised(segment, state)
-            ids: list[int] = []
-            for piece in self.shortest(text)[1]:
-                i = self.ids.get(piece)
-                ids += [i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            found = known[segment] = struct.pack(f"<{len(ids)}I", *ids), after
-        return found
+        if self.known_pairs > _MOST_CACHED:
+            self.neighbours.clear()
+            self.known_pairs = 0
+        text, _, after = self.normalised(segment, state)
+        ids: list[int] = []
+        for piece in self.shortest(text)[1]:
+            i = self.ids.get(piece)
+            ids += [i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+        return struct.pack(f"<{len(ids)}I", *ids), after
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        parts, out, state = _SEGMENT.findall(text), [], START
+        parts, out, state, known = _SEGMENT.findall(text), [], START, self.paths
         for k, part in enumerate(parts):
             if state == BODY and self.steady:  # all that follows starts from this state
-                known, path = self.paths[BODY], self.path
-                for p in set(parts[k:]).difference(known):
-                    path(p, BODY)
-                out += [(known.get(p) or path(p, BODY))[0] for p in parts[k:]]
+                if len(known) > _MOST_CACHED:
+                    known.clear()
+                rest = parts[k:]
+                for p in set(rest).difference(known):
+                    known[p] = self.path(p, BODY)[0]
+                out += map(known.__getitem__, rest)
                 break
             ids, state = self.path(part, state)
             out.append(ids)
