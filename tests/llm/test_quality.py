@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -46,6 +47,21 @@ def test_verdicts(spark, docs):
     assert not any(r["kept"] for r in got if r["quality"] == 0)
 
 
+def test_rank_is_by_rejections_among_what_is_left():
+    # The second rule rejects most, but nearly all of that the first one does too, for less.
+    rows = [(True, True, False)] * 50 + [(False, True, False)] * 5 + [(False, False, True)] * 20 + [(False, False, False)] * 25
+    assert quality.by_rank(rows, [1.0, 2.0, 1.0]) == [0, 2, 1]
+    assert quality.by_rank(rows, [1.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.by_rank([], [3.0, 1.0, 2.0]) == [1, 2, 0]
+    assert quality.by_rank(rows, [1.0, 2.0, 1000.0]) == [0, 1, 2]
+
+
+def test_cheap_rules_come_before_costly_ones(docs):
+    names = [r.name for r in quality.ordered(docs)]
+    assert sorted(names) == sorted(r.name for r in quality.RULES)
+    assert names.index("few_words") < names.index("repeated_windows")
+
+
 def test_order_does_not_change_the_verdict(docs):
     back = tuple(reversed(quality.RULES))
     a = {r["doc_id"] for r in quality.quality_rules(docs).collect()}
@@ -53,6 +69,12 @@ def test_order_does_not_change_the_verdict(docs):
     assert a == b == {r["doc_id"] for r in quality.quality_report(docs).where("kept").collect()}
 
 
+def test_long_texts(spark):
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.random()}"]) for _ in range(500_000))
+    check(spark.createDataFrame([(1, long), (2, "x" * 5_000_000)], "doc_id long, text string"))
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b " * 30, 5, "x")], "doc_id long, text string, n_words int, _text string")
     assert quality.quality_rules(df, quality.RULES[:2]).collect() == df.collect()

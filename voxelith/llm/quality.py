@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a Boolean expression over a document's text; a document is kept if none holds.  The
-rules' order does not change the verdict, only the work: on a sample, each rule's cost (seconds)
-and selectivity (share it rejects) are measured, and the rules are evaluated by rejections per
-second, the highest first, inside one CASE, so that a rejected row meets no later rule.
+rules' order does not change the verdict, only the work: on a sample, each rule's cost (seconds a row,
+without what a job costs anyway) and its verdict on each row are measured.  First comes the rule
+with most rejections per second, then that with most per second among the rows that are left, and so
+on, inside one CASE, so that a rejected row meets no later rule.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import words
 
-#: Rows of the sample on which costs and selectivities are estimated; they decide the order alone.
-SAMPLE_ROWS = 400
+#: Rows of the sample on which costs and selectivities are estimated, and the most characters of one;
+#: they decide the order alone.  The rows are taken from few partitions by a hash of the text, one in
+#: SAMPLE_STEP, and come to the driver: 16 million characters at most.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_STEP = 256, 65536, 16
+#: Times that the sample is evaluated in one job, so that its cost stands out from the job's.
+_REPEATS = 4
 
 
 @dataclass(frozen=True)
@@ -78,22 +83,49 @@ def _rejects(rule: Rule, known: tuple[str, ...] = ()) -> str:
     return "(" + rule.reject.format(**{k: k if k in known else v for k, v in MEASURES.items()}) + ")"
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second of evaluation on a sample, the highest first."""
-    sample = _prepared(docs.select("text").sample(0.2, 7).limit(sample_rows).union(docs.select("text").limit(8))).persist()
-    try:
-        if not sample.count():
-            return list(rules)
-        rank = []
-        for rule in rules:
-            probe = sample.agg(F.avg(F.expr(_rejects(rule)).cast("int")))
-            probe.first()  # compiles
-            began = time.perf_counter()
-            share = probe.first()[0] or 0.0
-            rank.append((-share / max(time.perf_counter() - began, 1e-6), rule.name, rule))
-        return [r for *_, r in sorted(rank, key=lambda x: x[:2])]
-    finally:
-        sample.unpersist()
+def _sample(docs: DataFrame, rows: int) -> list[tuple[str]]:
+    """Some texts; no more partitions are read than it takes to find them."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(f"length(text) <= {SAMPLE_CHARS}")
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_STEP)) == 0).take(rows)
+    return [tuple(r) for r in (some if len(some) >= min(rows, 16) else texts.take(rows))]
+
+
+def by_rank(outcomes: list[tuple[bool, ...]], costs: list[float]) -> list[int]:
+    """The order of rules by rejections per cost among the rows that the rules before leave.
+    outcomes: of each row, which rules reject it.  Rules that reject none come last, cheapest first."""
+    left, rest, out = list(outcomes), set(range(len(costs))), []
+    while rest:
+        hits = {k: sum(bool(row[k]) for row in left) for k in rest}
+        best = min(rest, key=lambda k: (-hits[k] / max(costs[k], 1e-9), costs[k], k))
+        out.append(best)
+        rest.remove(best)
+        left = [row for row in left if not row[best]]
+    return out
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[Rule]:
+    """rules in the order of `by_rank`, as measured on a sample of docs' texts; `known` names the
+    measures that are at hand when the rules run, and so cost them nothing."""
+    texts = _sample(docs, sample_rows)
+    if not texts:
+        return list(rules)
+    spark = docs.sparkSession
+    frame = _prepared(spark.createDataFrame(texts, "text string").coalesce(1))
+    verdicts = [F.expr(_rejects(r)).alias(f"r{i}") for i, r in enumerate(rules)]
+    got = frame.select("text", *[F.expr(MEASURES[k]).alias(k) for k in known], *verdicts).collect()
+    held = spark.createDataFrame([tuple(r)[: 1 + len(known)] for r in got], ", ".join(["text string", *(f"{k} long" for k in known)]))
+    held = _prepared(held.coalesce(1).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(_REPEATS)))))
+
+    def seconds(rule: str) -> float:
+        probe = held.agg(F.sum("n_words"), F.sum(F.expr(rule)))
+        probe.first()  # compiles
+        began = time.perf_counter()
+        probe.first()
+        return time.perf_counter() - began
+
+    plain = min(seconds("0"), seconds("0"))
+    costs = [max(seconds(f"cast({_rejects(r, known)} as int)") - plain, 1e-4) for r in rules]
+    return [rules[i] for i in by_rank([tuple(r)[1 + len(known) :] for r in got], costs)]
 
 
 def _cascade(rules: list[Rule], known: tuple[str, ...] = ()) -> F.Column:
@@ -116,10 +148,14 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a
-    row for each row of docs; kept is the verdict of quality_rules."""
+    row for each row of docs(doc_id, text, ...); kept is the verdict of quality_rules.
+
+    A null text counts as empty: no words, and failed.  Repeated rows are judged alike, a null doc_id
+    stays null, an empty table gives an empty table, and other columns are ignored, whatever their
+    names.  All measures are wanted of all rows here, so only the verdict is short-circuited."""
     out = _prepared(docs.select("doc_id", "text"))
     known = tuple(MEASURES)
     out = out.select("doc_id", "_text", "_words", "n_words", *[F.expr(v).alias(k) for k, v in MEASURES.items()])
     out = out.withColumn("base_failed", F.expr(BASE_FAILED))
-    kept = F.when(F.col("base_failed"), False).otherwise(_cascade(ordered(docs, rules, sample_rows), known).isNull())
+    kept = F.when(F.col("base_failed"), False).otherwise(_cascade(ordered(docs, rules, sample_rows, known), known).isNull())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
