@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-#: Labelled documents that are learned from at most: those whose ids have the smallest hashes.
-TRAIN_ROWS = 4000
+#: Labelled documents that are learned from at most, those whose ids have the smallest hashes, and the
+#: characters of one at most: longer ones are not learned from.  So 800 MB of text reach the driver at
+#: the very most; all texts are scored whole.
+TRAIN_ROWS, TRAIN_CHARS = 4000, 200_000
 TABLE_BITS = 18
 DIM = 8
 NGRAMS = (3, 4, 5)
 EPOCHS = 6
-RATE = 0.5
+RATE = 1.0
 SEED = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,9 +57,7 @@ def features(text: str | None, bits: int = TABLE_BITS, grams: tuple[int, ...] =
     place = np.arange(len(cp)) - np.repeat(space, np.diff(np.append(space, len(cp))))
     power = _powers(int(place.max()) + 1)
     sums = np.add.reduceat(cp * power[place], space)[:-1]
-    same = sums[:-1] == sums[1:]  # a word after itself is one pair, whatever the word
-    pairs = np.where(same, np.uint64(1), sums[:-1] * np.uint64(31) + sums[1:] + np.uint64(7))
-    out = [_mix(sums, bits), _mix(pairs, bits)]
+    out = [_mix(sums, bits), _mix(sums[:-1] * np.uint64(31) + sums[1:] + np.uint64(7), bits)]
     breaks = np.cumsum(cp == 32)
     for n in grams:
         if len(cp) < n:
@@ -134,14 +134,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **limits: float) -> Model:
     """Learn labels.quality from at most train_rows documents that are not held out.
 
-    They are those with the smallest hashed ids, so the choice depends on ids alone.  Labels other
-    than 0 and 1, and ids that are null, are left out."""
+    They are those with the smallest hashed ids, so the choice depends on ids alone; of them, texts of
+    over TRAIN_CHARS characters are left out, as are labels other than 0 and 1, and ids that are null.
+    Of an id's texts, if it is repeated, the least is learned from; a null text has no features.  Only
+    doc_id and text of docs, doc_id and quality of labels are read, whatever else they have.  Empty
+    tables give a model that scores all texts alike."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     if not some.take(1):
         return train([], [])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(f"text is null or length(text) <= {TRAIN_CHARS}").join(F.broadcast(some), "doc_id")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = sorted(rows.collect(), key=lambda r: r["doc_id"])
     return train([r["text"] for r in got], [r["quality"] for r in got], **limits)
@@ -151,7 +154,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted), a row for each row of docs.
 
     score is the probability of label 1; a null or wordless text has that of the bias alone.  Only
-    the text is scored."""
+    the text is scored; repeated rows stay, an empty table gives an empty table, and other columns are
+    ignored, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
