@@ -1,6 +1,10 @@
 import hashlib
+import math
+import random
 import re
 
+import regex
+
 from voxelith.llm import pii
 
 BASE = {
@@ -81,3 +85,75 @@ def test_terms_far_from_the_mention_and_in_other_documents(spark):
     assert all("Zorblatt" not in got[i] and "<EMAIL>" in got[i] for i in range(7))
     assert "Zorblatt" not in got[50] and got[50].endswith("was seen again and nothing else was said")
     assert all(got[i] == dict(rows)[i] for i in range(100, 500))
+
+
+def brute_terms(rows, support=3, generalise=0.9):
+    """The words of each text that disclose an entity, by counts over distinct texts."""
+    held = {}
+    for _, text in rows:
+        text = text or ""
+        base = [x.split(":") for x in brute(text)]
+        plain, at, seen = "", 0, {}
+        for kind, s, e in base:
+            s, e = int(s), int(e)
+            plain += " " + text[at:s] + " "
+            at = max(at, e)
+            left = regex.sub(r"^\p{L}+", "", text[s - 60 : s]) if s > 60 else text[:s]
+            right = regex.sub(r"\p{L}+$", "", text[e : e + 60]) if len(text) - e > 60 else text[e:]
+            assert (kind, text[s:e].lower()) not in seen  # one mention a text, so surroundings are plain
+            seen[kind, text[s:e].lower()] = (left, right)
+        held[text] = (seen, set(regex.findall(r"\p{L}{3,}", (plain + text[at:]).lower())))
+    n = len(held)
+    texts = lambda f: sum(map(f, held.values()))
+    terms, entities = set().union(*(t for _, t in held.values())), set().union(*(s for s, _ in held.values()))
+    found = set()
+    for e in entities:
+        c_e = texts(lambda x: e in x[0])
+        for t in terms:
+            both = [x for x in held.values() if e in x[0] and t in x[1]]
+            if len({x[0][e] for x in both}) >= support and c_e < n:
+                share = math.log(len(both) * n / (c_e * texts(lambda x: t in x[1]))) / math.log(n / c_e)
+                if share >= generalise - 1e-12:
+                    found.add(t)
+    out = {}
+    for d, text in rows:
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute(text or "")]
+        words = [m for m in regex.finditer(r"\p{L}{3,}", text or "") if m[0].lower() in found]
+        out[d] = [f"term:{m.start()}:{m.end()}" for m in words if not any(m.start() < e and s < m.end() for s, e in base)]
+    return found, out
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(4)
+    common = [f"{a}{b}{c}" for a in "bdfg" for b in ("al", "er", "in") for c in ("so", "ton", "")]
+    people = [(f"Name{chr(97 + k)}x", f"p{k}@site{chr(97 + k)}.example.com") for k in range(6)]
+    rows = []
+    for i in range(160):
+        words = [rng.choice(common) for _ in range(rng.randrange(15, 60))]
+        if i % 4 == 0:
+            name, mail = people[rng.randrange(6)]
+            words.insert(rng.randrange(len(words)), mail)
+            if rng.random() < 0.9:
+                words.insert(rng.randrange(len(words)), name.upper() if rng.random() < 0.3 else name)
+        elif rng.random() < 0.04:
+            words.append(people[rng.randrange(6)][0])
+        rows.append((i, " ".join(words)))
+    rows += [(500 + i, rows[4 * i][1]) for i in range(10)] + [(600, None), (601, "")]
+    found, want = brute_terms(rows)
+    assert found and len(found) < 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("term")] for r in pii.report(df).collect()}
+    assert got == want
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "".join(f"mail u{i}@h{i % 7}.example.com or 10.0.{i % 256}.{i % 255} now\n" for i in range(3000))
+    huge = "plain words and nothing to mask " * 160_000
+    rows = [(1, long, "a", 5), (2, huge, "b", 6), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_email int")
+    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    assert got[1]["spans"] == ",".join(brute(long)) and got[1]["n_email"] == 3000 and got[2]["spans"] == got[3]["spans"] == ""
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    masked = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert masked[1] == "".join("mail <EMAIL> or <IP> now\n" for _ in range(3000)) and masked[2] == huge and masked[3] is None
