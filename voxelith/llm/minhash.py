@@ -88,15 +88,21 @@ def fingerprints(docs: DataFrame, bin_bits: int = BIN_BITS, stored: int = STORED
     return out.select("doc_id", packed("sig", stored).alias("fingerprint"))
 
 
-def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with _bucket, a range of doc_id, and the first doc_id of each bucket that has rows.
+#: Rows in a task, about, and the most buckets: their bounds, a number each, come to the driver.
+TASK_ROWS, MOST_BUCKETS = 20_000, 65_536
+
+
+def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """docs with _bucket, a range of doc_id; the first doc_id of each bucket that has rows; and the
+    tasks to deal buckets to, two buckets each, whose number follows that of the rows.
 
     The bounds are approximate quantiles, so the ranges hold about equally many rows whatever the
-    ids are; they come to the driver, a few for each shuffle partition.  Null ids go first."""
-    n = 2 * partitions(docs.sparkSession)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] if n > 1 else []
+    ids are; they come to the driver, MOST_BUCKETS at most.  Null ids go first."""
+    tasks = max(partitions(docs.sparkSession), min(docs.count() // TASK_ROWS, MOST_BUCKETS // 2))
+    n = 2 * tasks
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"]
     cuts = sorted(set(cuts or []))
-    step = 64
+    step = max(1, round(len(cuts) ** 0.5))
     coarse = cuts[::step]
     lit = lambda xs: f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)"
     if cuts:
@@ -106,7 +112,7 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         docs = docs.withColumn("_bucket", F.expr(f"case when _block = 0 then 0 else (_block - 1) * {step} + {inner} end")).drop("_block")
     else:
         docs = docs.withColumn("_bucket", F.lit(0))
-    return docs, docs.groupBy("_bucket").agg(F.min("doc_id").alias("_first"), F.max(F.col("doc_id").isNull()).alias("_nulls"))
+    return docs, docs.groupBy("_bucket").agg(F.min("doc_id").alias("_first"), F.max(F.col("doc_id").isNull()).alias("_nulls")), tasks
 
 
 def edited_pairs(docs: DataFrame, bin_bits: int = BIN_BITS, stored: int = STORED_BITS, size: int = SHINGLE) -> DataFrame:
@@ -117,18 +123,20 @@ def edited_pairs(docs: DataFrame, bin_bits: int = BIN_BITS, stored: int = STORED
     all) of the next document by ascending doc_id; the first follows the last.  Null ids go first;
     equal ids are ordered by text.  A null text counts as empty.  Rows meet their neighbours in
     ranges of ids: a copy of each range's first rows goes to the range before, so no range needs
-    another, and no task sorts the whole table."""
+    another, and no task sorts the whole table.  Repeated rows follow each other; an empty table
+    gives an empty table; other columns are ignored, whatever their names."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed, firsts = _buckets(own)
+    placed, firsts, tasks = _buckets(own)
     edges = sorted(firsts.collect(), key=lambda r: r["_bucket"])  # a row a bucket
     links = {r["_bucket"]: (None if r["_nulls"] else r["_first"], edges[i - 1]["_bucket"]) for i, r in enumerate(edges)}
-    rows = ", ".join(f"({b}, {'null' if first is None else first}, {before})" for b, (first, before) in links.items()) or "(0, null, 0)"
     # As many rows as there are buckets.
-    table = F.broadcast(docs.sparkSession.sql(f"select int(a) _bucket, bigint(b) _first, int(c) _before from values {rows} as t(a, b, c)"))
+    table = F.broadcast(docs.sparkSession.createDataFrame([(b, first, before) for b, (first, before) in links.items()] or [(0, None, 0)], "_bucket int, _first long, _before int"))
     placed = placed.join(table, "_bucket").withColumn(
         "_at", F.expr("case when doc_id <=> _first then array(struct(_bucket as b, false as ghost), struct(_before as b, true as ghost)) else array(struct(_bucket as b, false as ghost)) end")
     )
     placed = placed.select("doc_id", "text", F.explode("_at").alias("_at")).select("doc_id", "text", "_at.b", "_at.ghost")
+    if tasks > partitions(docs.sparkSession):
+        placed = placed.repartition(tasks, "b")
     order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
     near = placed.withColumn("next", F.lead("text").over(order)).withColumn("n_chars", F.length("text").cast("long"))
     near = near.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), coalesce(substring(next, 1, cast(n_chars div 4 as int)), ''))"))
