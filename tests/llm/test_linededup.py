@@ -1,25 +1,28 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from voxelith.llm import linededup
 
 
 def brute(rows, ratio, least):
     total, n = Counter(), defaultdict(Counter)
+    bare = lambda x: x.strip(" \t\n\x0b\x0c\r")
     for _, t, s in rows:
         total[s] += 1
-        n[s].update({x.strip(" ") for x in (t or "").split("\n")} - {""})
+        n[s].update({bare(x) for x in (t or "").split("\n")} - {""})
     out = []
     for d, t, s in rows:
         if t is None:
             out.append((d, None, 0, 0))
             continue
         lines = t.split("\n")
-        kept = [x for x in lines if not (n[s][x.strip(" ")] >= least and n[s][x.strip(" ")] > ratio * total[s])]
+        kept = [x for x in lines if not (n[s][bare(x)] >= least and n[s][bare(x)] > ratio * total[s])]
         out.append((d, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
 
-def check(df, ratio, least):
+def check(df, ratio=linededup.RATIO, least=linededup.MIN_PAGES):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
     got = linededup.line_dedup(df, ratio=ratio, min_pages=least).collect()
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got), key=str) == brute(rows, ratio, least)
@@ -27,11 +30,26 @@ def check(df, ratio, least):
 
 
 def test_against_brute_force(docs, odd, empty):
-    assert check(docs, 0.08, 2) > 0
+    assert check(docs) > 0 and check(docs, 0.08, 2) > 0
     check(odd, 0.3, 1)
     check(empty, 0.08, 2)
 
 
+def test_hosts_of_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    df = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), linededup.url_host(pages["url"]).alias("source"))
+    assert df.select("source").distinct().count() > 5 and df.where("source is null").count() == 0
+    check(df)
+    tags = df.withColumn("text", F.regexp_replace("text", "><", ">\n<"))
+    assert check(tags) > 0
+
+
+def test_long_texts(spark):
+    lines = [f"line {i}" for i in range(400_000)]
+    rows = [(1, "\n".join(lines), "s"), (2, "\n".join(lines[:3]), "s"), (3, "line 1\nx", "s"), (4, "y" * 5_000_000, "s")]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
 def test_host_and_clashing_columns(spark):
     rows = [(i, "http://u:p@Ex.org:80/a", "menu\nown %d" % i, "x") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, url string, text string, n_lines string")

@@ -42,8 +42,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.line_dedup(_read(spark, sf_dir, "documents"), min_pages=linededup.QUERY_MIN_PAGES, ends=linededup.QUERY_ENDS)
-    return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
+    """By documents' source, the only site that they name; `pages` has hosts, see the tests."""
+    return linededup.line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,14 +49,14 @@ from d join f using (h)
 OP6 = r"""
 with pages as (select doc_id, source, text, string_split(text, chr(10)) as l from documents),
 total as (select source, count(*) as n from pages group by source),
-each as (select doc_id, source, unnest(list_distinct(list_transform(l, lambda x: trim(x)))) as line from pages),
+each as (select doc_id, source, unnest(list_distinct(list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) as line from pages),
 bad as (
   select each.source, line from each join total on total.source is not distinct from each.source where line <> ''
-  group by each.source, line, total.n having count(*) >= 10 and count(*) > cast('0.08' as double) * total.n),
+  group by each.source, line, total.n having count(*) >= 3 and count(*) > cast('0.08' as double) * total.n),
 lists as (select source, list(line) as lines from bad group by source)
 select doc_id, p.source, cast(coalesce(len(l), 0) as bigint) as n_lines,
-  cast(coalesce(len(list_filter(l, lambda x: list_contains(lines, trim(x)))), 0) as bigint) as n_dropped,
-  case when lines is null then text else array_to_string(list_filter(l, lambda x: not list_contains(lines, trim(x))), chr(10)) end as text
+  cast(coalesce(len(list_filter(l, lambda x: list_contains(lines, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))), 0) as bigint) as n_dropped,
+  case when lines is null then text else array_to_string(list_filter(l, lambda x: not list_contains(lines, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), chr(10)) end as text
 from pages p left join lists on lists.source is not distinct from p.source
 """
 
