@@ -1,42 +1,50 @@
-import random
 import re
 
-from voxelith.llm import nearcopies
-
+import numpy as np
+import xxhash
 
-def jaccard(a, b):
-    sets = []
-    for t in (a, b):
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+from voxelith.llm import nearcopies
 
 
-def text(n, edits=(), of="w"):
-    return " ".join(f"x{i}" if i in edits else f"{of}{i}" for i in range(n))
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_groups_are_those_of_exact_likeness(spark, odd, empty):
-    # Of 200 words: 196 shingles; an edit in the middle changes 5 of them, so 4 edits give
-    # 176 / 216 = 0.81 and 5 give 171 / 221 = 0.77.
-    base = text(200)
-    near, far = text(200, (20, 60, 100, 140)), text(200, (20, 60, 100, 140, 180))
-    assert jaccard(base, near) >= 0.8 > jaccard(base, far)
-    rows = [(1, base), (2, near), (3, text(200, (), "v")), (4, text(200, (20, 60, 100, 140, 180), "v")), (5, base.upper() + " \t"), (6, None), (7, ""), (8, "one two"), (9, "one  Two")]
-    got = {r["doc_id"]: r["group"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == got[2] == got[5] and got[6] == got[7] and got[8] == got[9]
-    assert len({got[1], got[3], got[4], got[6], got[8]}) == 5
-    assert nearcopies.near_copies(odd).count() == odd.count()
-    assert nearcopies.near_copies(empty).count() == 0
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def fingerprint(held):
+    """256 bits, one at a time."""
+    m, out = 2**64 - 1, 0
+    for k in range(4):
+        hs = []
+        for x in held:
+            h = xxhash.xxh64_intdigest(x.encode(), 42)
+            if k:
+                h = (h + k * 0x9E3779B97F4A7C15) & m
+                h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & m
+                h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & m
+                h ^= h >> 31
+            hs.append(h)
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << 64 * k
+    return out
 
 
 def exact(rows):
     """Groups of doc_ids by a search of all pairs."""
-    sets = []
+    known, sets = {}, []
     for _, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset([""]))
-    holders, parent = {}, list(range(len(rows)))
+        held = frozenset(shingles(t))
+        if held not in known:
+            known[held] = len(known)
+        sets.append(held)
+    kinds = list(known)
+    prints = [fingerprint(x) for x in kinds]
+    words = np.array([[p >> 64 * k & (2**64 - 1) for k in range(4)] for p in prints], np.uint64)
+    sizes = np.array([len(x) for x in kinds])
+    parent = list(range(len(kinds)))
 
     def find(i):
         while parent[i] != i:
@@ -44,18 +52,14 @@ def exact(rows):
             i = parent[i]
         return i
 
-    for i, s in enumerate(sets):
-        common = {}
-        for x in s:
-            for j in holders.setdefault(x, []):
-                common[j] = common.get(j, 0) + 1
-            holders[x].append(i)
-        for j, n in common.items():
-            if n >= 0.8 * (len(s) + len(sets[j]) - n):
-                parent[find(i)] = find(j)
+    for i in range(len(kinds)):
+        far = np.bitwise_count(words[i] ^ words[:i]).sum(axis=1)
+        near = (far <= 51) & (np.minimum(sizes[:i], sizes[i]) >= 0.64 * np.maximum(sizes[:i], sizes[i])) & (sizes[:i] > 0) & (sizes[i] > 0)
+        for j in np.nonzero(near)[0].tolist():
+            parent[find(i)] = find(j)
     groups = {}
-    for i, (d, _) in enumerate(rows):
-        groups.setdefault(find(i), []).append(d)
+    for (d, _), held in zip(rows, sets, strict=True):
+        groups.setdefault(find(known[held]), []).append(d)
     return sorted(sorted(g) for g in groups.values())
 
 
@@ -66,33 +70,41 @@ def found(df, **how):
     return sorted(sorted(g) for g in groups.values())
 
 
-def test_groups_of_documents_are_those_of_an_exact_search(spark):
+def text(n, edits=(), of="w"):
+    return " ".join(f"x{i}" if i in edits else f"{of}{i}" for i in range(n))
+
+
+def test_copies_and_others(spark, odd, empty):
+    # Of 200 words: 196 shingles; an edit in the middle changes 5 of them, so 4 edits leave a Jaccard
+    # likeness of 176 / 216 = 0.81, and 25 edits 71 / 321 = 0.22.
+    base = text(200)
+    near, far = text(200, (20, 60, 100, 140)), text(200, range(8, 200, 8), "v")
+    assert jaccard(base, near) >= 0.8 and jaccard(text(200, (), "v"), far) < 0.3
+    rows = [(1, base), (2, near), (3, text(200, (), "v")), (4, far), (5, base.upper() + " \t"), (6, None), (7, ""), (8, "one two"), (9, "one  Two")]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == [[1, 2, 5], [3], [4], [6, 7], [8, 9]]
+    assert nearcopies.near_copies(odd).count() == odd.count()
+    assert nearcopies.near_copies(empty).count() == 0
+
+
+def test_groups_of_documents_are_those_of_a_search_of_all_pairs(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = exact([(r["doc_id"], r["text"]) for r in df.collect()])
-    assert sum(len(g) > 1 for g in want) > 20
+    assert sum(len(g) > 1 for g in want) > 30
     assert found(df) == want
-    assert found(df, tile=50, rounds=(1, 3, 1 << 40)) == want
-
-
-def test_a_large_group_of_near_copies(spark):
-    """Each edits another two places of one text."""
+    monkeypatch.setattr(nearcopies, "TILES", 2)
+    assert found(df, tile=20) == want
+
+
+def test_a_large_group_of_near_copies_costs_rows_in_proportion(spark):
+    """Each edits another two places of one text: 1225 and 4950 pairs, 49 and 99 edges."""
+    for n in (50, 100):
+        held = [nearcopies.shingles(text(400, (7 * i % 397, 11 * i % 397 + 1))) for i in range(n)]
+        tile = {"node": np.arange(n), "size": np.array([len(x) for x in held])}
+        tile |= {f"w{k}": np.array([nearcopies.majority(nearcopies.mixed(x, k)) for x in held], np.int64).view(np.uint64) for k in range(4)}
+        a, b = nearcopies.forest(tile, tile, True, 51, 0.64)
+        assert len(a) == n - 1 and set(b.tolist()) == {0}
     rows = [(i, text(400, (7 * i % 397, 11 * i % 397 + 1))) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(found(df)) == 1 and len(found(df, tile=40, rounds=(1, 1 << 40))) == 1
-
-
-def test_links_behind_near_ones_that_are_none(spark):
-    """Of texts within the radius most are not alike enough; later rounds come to those that are."""
-    rng = random.Random(5)
-    rows = []
-    for i in range(30):
-        edits = tuple(rng.sample(range(5, 195), 5))  # likeness 0.77 to the base, less to each other
-        rows += [(2 * i, text(200, edits)), (2 * i + 1, text(200, edits[:4] + (edits[4] + 1,)))]
-    want = exact(rows)
-    assert 5 < len(want) < 60
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for rounds in ((1, 2, 4, 1 << 40), (1 << 40,)):
-        assert found(df, radius=60, first=40, rounds=rounds, tile=16) == want
+    assert len(found(spark.createDataFrame(rows, "doc_id long, text string"), tile=40)) == 1
 
 
 def test_odd_columns(spark):

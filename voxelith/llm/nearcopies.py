@@ -1,20 +1,15 @@
-"""Near copies by likeness: the SimHash operator at a wide radius, and an exact check of its pairs.
-
-Texts are near copies if their sets of five-word shingles have a Jaccard likeness of 0.8 or more.  The
-sets' SimHashes of 128 bits are compared tile by tile with exclusive-or and bit counts (see
-`simhash`, whose fingerprints of 64 bits and narrow radius are another contract's).  Two sets of
-likeness s have a cosine of about 2s / (1 + s), so at 0.8 each bit differs with probability 0.151: 19.4
-bits of 128, with a deviation of 4.1.  RADIUS is 4.5 deviations above, FIRST, the limit of the first
-64 bits alone, 5; of unrelated texts 3 in a million come so near, and every pair is checked by its
-sets, so none below the limit is linked.
-
-Texts of one shingle set are one class; classes, not documents, are compared.  A class's cell is its
-set's size on a logarithmic scale: sizes of alike sets differ by a fifth at most, so a cell meets
-itself and the next.  Tile pairs whose population counts differ beyond the radius are skipped.
-
-A tile pair gives of each class its first few near ones that it is not yet linked to, by any path.
-These are checked and linked, and the next round goes on behind them; a round without any left is
-the last.  So a group of copies costs a few rows a member, not all its pairs, and no link is lost.
+"""Near copies: the SimHash operator on five-word shingles, at a similarity of 0.8.
+
+A text's fingerprint has 256 bits, of its set of shingles; the similarity of two texts is the share of
+bits that agree, which grows with the cosine of their sets (0.8 of the bits: a cosine of 0.81).  Texts
+are linked from 0.8 on, if their sets' sizes differ by a factor of at most 1 / 0.64, as they must for
+such a cosine.  (`simhash`, with 64 bits, three words and 2 bits, is another contract's.)
+
+Texts of one shingle set are one class; classes, not documents, are compared, tile by tile with
+exclusive-or and bit counts.  A class's cell is its set's size on a logarithmic scale, a cell meets
+itself and the next, and tile pairs whose population counts differ beyond the radius are skipped;
+both lose nothing.  A tile pair gives a spanning forest of its links: a group of copies costs a row a
+member and tile pair, not all its pairs, and what is connected stays so.
 """
 
 from __future__ import annotations
@@ -35,12 +30,11 @@ from .components import components
 from .simhash import _BREAKS
 
 SHINGLE = 5
-LIKENESS = 0.8
-RADIUS, FIRST = 38, 24
+SIMILARITY = 0.8
+#: Words of 64 bits in a fingerprint.
+WORDS = 4
 #: Classes in a tile, about, and tiles of a cell that meet another cell's in one task.
 TILE, TILES = 2048, 32
-#: Near ones of a class in a tile pair, counted, at which rounds end.
-ROUNDS = (4, 64, 1 << 40)
 _CHUNK = 65536
 
 
@@ -56,7 +50,17 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(t), 42) for t in zip(*(ws[i:] for i in range(size)), strict=False)), np.uint64, len(ws) - size + 1))
 
 
-def _majority(held: np.ndarray) -> int:
+def mixed(held: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of a set mixed anew for word k of its fingerprint; as they are for the first."""
+    if not k:
+        return held
+    h = held + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majority(held: np.ndarray) -> int:
     """The bits set in over half of the numbers, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(held), _CHUNK):
@@ -64,15 +68,8 @@ def _majority(held: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(held)).tobytes(), "big", signed=True)
 
 
-def prints(held: np.ndarray) -> tuple[int, int]:
-    """Two SimHash words of a set: of its numbers, and of the same numbers mixed anew."""
-    h = held + np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return _majority(held), _majority(h ^ (h >> np.uint64(31)))
-
-
-def _node(held: np.ndarray) -> int:
+def node(held: np.ndarray) -> int:
+    """A number for a set of shingles."""
     return int.from_bytes(xxhash.xxh64_digest(held.tobytes(), 42), "big", signed=True)
 
 
@@ -80,158 +77,109 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _tiles(classes: DataFrame, tile: int) -> tuple[DataFrame, dict[int, int]]:
-    """(cell, t, low, high, c array<struct<node, a, b, size>>) of classes, and the tiles of each cell; of
-    cells there are as many as the logarithm of the largest size."""
-    cells = {r["cell"]: -(-r["n"] // tile) for r in classes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    pops = (F.bit_count("a") + F.bit_count("b")).cast("int")
-    dealt = classes.withColumn("t", F.pmod(F.xxhash64("node"), _of(cells, F.col("cell")))).withColumn("p", pops)
-    c = F.sort_array(F.collect_list(F.struct("node", "a", "b", "size")))
-    return materialize(dealt.groupBy("cell", "t").agg(F.min("p").alias("low"), F.max("p").alias("high"), c.alias("c")), "tiles"), cells
+def forest(one: dict[str, np.ndarray], two: dict[str, np.ndarray], same: bool, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) between nodes of two tiles that connect what the tiles' links connect.  A tile has
+    `node`, `size` and the words `w0`, `w1`, ..., unsigned: of a negative number numpy counts the bits of
+    the absolute value."""
+    n, words = len(one["node"]), [k for k in one if k[0] == "w"]
+    nodes = one["node"] if same else np.concatenate([one["node"], two["node"]])
+    up = np.arange(len(nodes))
+    rows = max(1, 1_000_000 // len(two["node"]))
+    for at in range(0, n, rows):
+        # Half of the words leave few pairs; the rest is counted of those.
+        far = sum(np.bitwise_count(one[w][at : at + rows, None] ^ two[w][None, :]).astype(np.uint16) for w in words[: len(words) // 2])
+        x, y = np.nonzero(far <= radius)
+        far = far[x, y].astype(np.int16)
+        x += at
+        for w in words[len(words) // 2 :]:
+            far += np.bitwise_count(one[w][x] ^ two[w][y])
+        a, b = one["size"][x], two["size"][y]
+        hit = (far <= radius) & (np.minimum(a, b) >= ratio * np.maximum(a, b))
+        x, y = x[hit], y[hit] if same else y[hit] + n
+        while len(x):
+            i, j = up[x], up[y]
+            apart = i != j
+            x, y, i, j = x[apart], y[apart], i[apart], j[apart]
+            np.minimum.at(up, np.maximum(i, j), np.minimum(i, j))
+            while (up[up] != up).any():
+                up = up[up]
+    below = np.nonzero(up != np.arange(len(up)))[0]
+    return nodes[below], nodes[up[below]]
 
 
 def _of(numbers: dict[int, int], key: F.Column) -> F.Column:
     pairs = [F.lit(x) for k, n in numbers.items() for x in (k, n)]
-    return F.coalesce(F.create_map(*pairs)[key], F.lit(0)) if pairs else F.lit(1)
-
-
-def _pairs(tiles: DataFrame, cells: dict[int, int], labels: DataFrame | None, radius: int) -> DataFrame:
-    """Tile pairs (c1, c2, same), c with each class's label (its node, where labels has none)."""
-    if labels is not None:
-        each = tiles.select("cell", "t", "low", "high", F.explode("c").alias("c")).join(labels.withColumnRenamed("node", "_n"), F.col("c.node") == F.col("_n"), "left")
-        c = F.sort_array(F.collect_list(F.struct("c.node", "c.a", "c.b", "c.size", F.coalesce("root", "c.node").alias("label"))))
-        tiles = each.groupBy("cell", "t").agg(F.first("low").alias("low"), F.first("high").alias("high"), c.alias("c"))
-    else:
-        tiles = tiles.withColumn("c", F.expr("transform(c, x -> struct(x.node, x.a, x.b, x.size, x.node as label))"))
-    groups = {k: -(-n // TILES) for k, n in cells.items()}
-    g = F.floor(F.col("t") / TILES)
-    spread = lambda cell, start: F.transform(F.sequence(start, _of(groups, cell) - 1), lambda h: F.struct(cell.alias("cell"), h.cast("long").alias("g")))
-    # A group of tiles meets the later groups of its cell and all of the next cell.
-    there = F.concat(spread(F.col("cell"), g), F.when(_of(groups, F.col("cell") + 1) > 0, spread(F.col("cell") + 1, F.lit(0).cast("long"))).otherwise(F.array().cast("array<struct<cell:int,g:bigint>>")))
-    back = F.concat(
-        F.transform(F.sequence(F.lit(0).cast("long"), g), lambda h: F.struct(F.col("cell").alias("cell"), h.alias("g"))),
-        F.when(_of(groups, F.col("cell") - 1) > 0, spread(F.col("cell") - 1, F.lit(0).cast("long"))).otherwise(F.array().cast("array<struct<cell:int,g:bigint>>")),
-    )
+    return F.coalesce(F.create_map(*pairs)[key], F.lit(0)) if pairs else F.lit(0)
+
+
+def _links(classes: DataFrame, similarity: float, tile: int, words: int) -> DataFrame:
+    """classes(node, size, w0, ...) -> (a, b): edges that connect what links connect."""
+    ratio, radius = similarity**2, math.floor(64 * words * (1 - similarity) + 1e-9)
+    names = [f"w{k}" for k in range(words)]
+    placed = classes.where("size > 0").withColumn("cell", F.floor(F.log("size") / -math.log(ratio)).cast("int"))
+    # Cells, and so rows for the driver, are as many as the logarithm of the largest size.
+    sizes = {r["cell"]: -(-r["n"] // tile) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    pops = sum((F.bit_count(w) for w in names[1:]), F.bit_count(names[0]))
+    dealt = placed.withColumn("t", F.pmod(F.xxhash64("node"), _of(sizes, F.col("cell")))).withColumn("p", pops)
+    c = F.collect_list(F.struct("node", "size", *names)).alias("c")
+    tiles = materialize(dealt.groupBy("cell", "t").agg(F.min("p").alias("low"), F.max("p").alias("high"), c), "tiles")
+    # A group of tiles meets the later groups of its cell and all of the next cell; each meeting is a key.
+    groups = {k: -(-n // TILES) for k, n in sizes.items()}
+    g = F.floor(F.col("t") / TILES).cast("int")
+
+    def spread(cell: F.Column, start: F.Column, stop: F.Column) -> F.Column:
+        some = F.transform(F.sequence(start, stop), lambda h: F.struct(cell.alias("cell"), h.alias("g")))
+        return F.when(stop >= start, some).otherwise(F.array().cast("array<struct<cell:int,g:int>>"))
+
+    here, zero = F.col("cell"), F.lit(0)
+    there = F.concat(spread(here, g, _of(groups, here) - 1), spread(here + 1, zero, _of(groups, here + 1) - 1))
+    back = F.concat(spread(here, zero, g), spread(here - 1, zero, _of(groups, here - 1) - 1))
     own = F.struct("cell", g.alias("g"))
     left = tiles.select(own.alias("k1"), F.explode(there).alias("k2"), F.col("t").alias("t1"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.col("c").alias("c1"))
     right = tiles.select(F.explode(back).alias("k1"), own.alias("k2"), F.col("t").alias("t2"), F.col("low").alias("l2"), F.col("high").alias("h2"), F.col("c").alias("c2"))
     both = left.join(right, ["k1", "k2"]).where((F.col("k1") != F.col("k2")) | (F.col("t1") <= F.col("t2")))
     both = both.where(f"l1 - h2 <= {radius} and l2 - h1 <= {radius}")
-    return both.select("c1", "c2", ((F.col("k1") == F.col("k2")) & (F.col("t1") == F.col("t2"))).alias("same"))
+    both = both.select("c1", "c2", ((F.col("k1") == F.col("k2")) & (F.col("t1") == F.col("t2"))).alias("same"))
 
-
-def compare(one: dict[str, np.ndarray], two: dict[str, np.ndarray], same: bool, past: int, upto: int, radius: int, first: int, least: float) -> tuple[list, list, int]:
-    """Of each class of tile one those of tile two within the radius: number past + 1 to upto of them, if
-    the two have different labels; and how many such come after."""
-    a_out, b_out, more = [], [], 0
-    rows = max(1, 2_000_000 // len(two["node"]))
-    for at in range(0, len(one["node"]), rows):
-        x, y = np.nonzero(np.bitwise_count(one["a"][at : at + rows, None] ^ two["a"][None, :]) <= first)
-        x += at
-        if same:
-            x, y = x[x < y], y[x < y]
-        far = np.bitwise_count(one["a"][x] ^ two["a"][y]).astype(np.int16) + np.bitwise_count(one["b"][x] ^ two["b"][y])
-        n, m = one["size"][x], two["size"][y]
-        hit = (far <= radius) & (np.minimum(n, m) >= least * np.maximum(n, m))
-        x, y = x[hit], y[hit]
-        number = np.arange(1, len(x) + 1) - np.searchsorted(x, x, "left")
-        apart = one["label"][x] != two["label"][y]
-        now = apart & (number > past) & (number <= upto)
-        more += int((apart & (number > upto)).sum())
-        a_out.append(one["node"][x[now]])
-        b_out.append(two["node"][y[now]])
-    return a_out, b_out, more
-
-
-def _candidates(pairs: DataFrame, past: int, upto: int, radius: int, first: int, least: float) -> DataFrame:
-    """(a, b, more): candidates, and rows without a and b for what is left to later rounds."""
-
-    def tile(column: pa.Array, i: int) -> dict[str, np.ndarray]:
+    def arrays(column: pa.Array, i: int) -> dict[str, np.ndarray]:
         held = column[i].values
         out = {f.name: held.field(f.name).to_numpy(zero_copy_only=False) for f in held.type}
-        # Unsigned: of a negative number numpy counts the bits of the absolute value.
-        return out | {k: out[k].view(np.uint64) for k in "ab"}
+        return out | {w: out[w].view(np.uint64) for w in names}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b, more = compare(tile(batch.column(0), i), tile(batch.column(1), i), batch.column(2)[i].as_py(), past, upto, radius, first, least)
-                a, b = pa.array(np.concatenate(a)), pa.array(np.concatenate(b))
-                if len(a) or more:
-                    none = pa.nulls(1, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, none]), pa.concat_arrays([b, none]), pa.array([0] * len(a) + [more], pa.int64())], names=["a", "b", "more"])
-
-    return pairs.mapInArrow(run, "a long, b long, more long")
+                a, b = forest(arrays(batch.column(0), i), arrays(batch.column(1), i), batch.column(2)[i].as_py(), radius, ratio)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-
-def _sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """(node, held) of the texts that keys(node, key) names: their shingles as bytes."""
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    texts = texts.join(keys, "key").groupBy("node").agg(F.min("text").alias("text"))
-
-    @pandas_udf("binary")
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([shingles(t, size).tobytes() for t in s], dtype=object)
-
-    return texts.select("node", held("text").alias("held"))
-
-
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b, x, y) of nodes and their sets -> (a, b) of a likeness of at least `least`."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                few, many = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if few >= least * many else 0
-                keep.append(both / (few + many - both) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    out = materialize(both.mapInArrow(compare, "a long, b long"), "links")
+    discard(tiles)
+    return out
 
 
-def near_copies(docs: DataFrame, least: float = LIKENESS, size: int = SHINGLE, radius: int = RADIUS, first: int = FIRST, tile: int = TILE, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, tile: int = TILE, words: int = WORDS) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, key, group), a row for each row of docs.
 
-    key is a hash of the text.  Rows are of one group if links of a likeness of at least `least`
-    connect them; a text of fewer than `size` words is one shingle, and all texts without words
-    (null: without words) are one class.  Repeated rows stay, an empty table gives an empty table,
-    and other columns are ignored, whatever their names."""
+    key is a hash of the text.  Rows are of one group if links of at least `similarity` connect them; a
+    text of fewer than `size` words is one shingle, and all texts without words (null: without words)
+    are one class.  Repeated rows stay, an empty table gives an empty table, and other columns are
+    ignored, whatever their names."""
+    names = [f"w{k}" for k in range(words)]
 
-    @pandas_udf("node long, a long, b long, size long")
+    @pandas_udf("node long, size long, " + ", ".join(f"{w} long" for w in names))
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             sets = [shingles(t, size) for t in s]
-            yield pd.DataFrame([(_node(x), *prints(x), len(x)) for x in sets], columns=["node", "a", "b", "size"], dtype="int64")
+            yield pd.DataFrame([(node(x), len(x), *(majority(mixed(x, k)) for k in range(words))) for x in sets], columns=["node", "size", *names], dtype="int64")
 
-    own = docs.select("doc_id", text_key().alias("key"), sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "key", "s.node", "s.a", "s.b", "s.size")
+    own = docs.select("doc_id", text_key().alias("key"), sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "key", "s.*")
     own = materialize(own, "sketches")
-    cell = F.floor(F.log("size") / -math.log(least)).cast("int").alias("cell")
-    classes = own.groupBy("node").agg(F.min("key").alias("key"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("size").alias("size"), F.count("*").alias("n"))
-    classes = materialize(classes.select("*", cell), "classes")
-    tiles, cells = _tiles(classes.where("size > 0"), tile)
-    links = roots = None
-    for past, upto in zip((0, *rounds), rounds, strict=False):
-        found = materialize(_candidates(_pairs(tiles, cells, roots, radius), past, upto, radius, first, least), "candidates")
-        pairs = found.where("a is not null").select("a", "b").distinct()
-        if pairs.take(1):
-            pairs = materialize(pairs, "pairs")
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            sets = materialize(_sets(docs, classes.join(wanted, "node").select("node", "key"), size), "sets")
-            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-            alike = materialize(_alike(both, least), "links")
-            discard(pairs, sets)
-            links = alike if links is None else links.unionByName(alike)
-            roots = materialize(components(links), "roots")
-        more = found.agg(F.sum("more")).first()[0] or 0
-        discard(found)
-        if not more:
-            break
-    discard(tiles)
-    final = classes.select("node", "n") if roots is None else classes.select("node", "n").join(roots, "node", "left")
-    final = materialize(final.select("node", "n", F.coalesce("root", "node").alias("group") if roots is not None else F.col("node").alias("group")), "groups")
+    classes = own.groupBy("node").agg(F.first("size").alias("size"), *[F.first(w).alias(w) for w in names], F.count("*").alias("n"))
+    classes = materialize(classes, "classes")
+    links = _links(classes, similarity, tile, words)
+    final = classes.select("node", "n").join(components(links), "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
+    final = materialize(final, "groups")
+    discard(classes, links)
     total = final.agg(F.sum("n")).first()[0] or 0
     return hot_join(own.select("doc_id", "key", "node"), final, "node", "n", total).select("doc_id", "key", "group")
