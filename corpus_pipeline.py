@@ -35,9 +35,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the smallest doc_id.
 
-    Near copies are texts of a five-word Jaccard likeness of 0.8 or more, and what such links
-    connect: the SimHash operator at a wide radius with an exact check (op8's query has its own size
-    and radius).  Rows go by doc_id and text: an id that two
+    Near copies are texts whose fingerprints of five-word shingles have a similarity of 0.8 or more,
+    and what such links connect: the SimHash operator with 256 bits (op8's query has its own size and
+    radius).  Rows go by doc_id and text: an id that two
     different texts share stands for two documents, of which each stays or goes by its own group;
     in one group the one with the smaller hash of its text stays.  Of rows of one id and text, the
     one whose columns are least stays.  A null id is greater than any other.  Texts without words
