@@ -158,6 +158,48 @@ def test_triangles_cover_the_polygon(rings):
     assert mesh.unflatten(pts, holes, dims) == [r.tolist() for r in rings]
 
 
+def star(rng, n, x=0.0, y=0.0, r=10.0, rough=0.3):
+    t = (np.arange(n) + rng.uniform(0, 0.8, n)) * 2 * math.pi / n
+    far = r * (1 - rough * rng.random(n))
+    return np.c_[x + far * np.cos(t), y + far * np.sin(t)]
+
+
+def test_random_polygons_with_holes():
+    rng = np.random.default_rng(7)
+    for n in [*range(8, 60, 3), 200, 1000]:
+        holes = [star(rng, int(rng.integers(3, 15)), 3.5 * math.cos(a), 3.5 * math.sin(a), 1.2, 0.6) for a in np.arange(n % 5) * 2 * math.pi / 5]
+        rings = [star(rng, n), *holes]
+        cut = mesh.earcut(rings)
+        assert mesh.deviation(rings, cut) < 1e-9
+        assert len(cut) == sum(map(len, rings)) + 2 * len(holes) - 2
+
+
+def test_an_ear_test_in_morton_order_is_the_plain_one(monkeypatch):
+    rng = np.random.default_rng(8)
+    rings = [star(rng, 300, rough=0.8)]
+    near = mesh.earcut(rings)
+    monkeypatch.setattr(mesh, "ORDERED", 10**9)
+    assert mesh.earcut(rings) == near
+    box = mesh._Near(rings[0])
+    low, high = np.array([-3.0, 1.0]), np.array([4.0, 6.0])
+    assert sorted(box.within(low, high).tolist()) == [i for i, p in enumerate(rings[0]) if (p >= low).all() and (p <= high).all()]
+
+
+def test_rings_that_touch_or_cross_themselves():
+    touch = np.array([[0, 0], [2, 0], [2, 2], [4, 2], [4, 4], [2, 4], [2, 2], [0, 2]], float)
+    assert mesh.deviation([touch], mesh.earcut([touch])) < 1e-9
+    spike = np.array([[0, 0], [4, 0], [4, 2], [7, 2], [4, 2], [4, 4], [0, 4]], float)
+    assert mesh.deviation([spike], mesh.earcut([spike])) < 1e-9
+    bow = np.array([[0, 0], [4, 4], [4, 0], [0, 4]], float)
+    knot = np.array([[0, 0], [6, 0], [6, 4], [3, -1], [2, 4], [0, 4]], float)
+    twice = np.vstack([square(0, 0, 4), square(0, 0, 4)])
+    for ring in (bow, knot, twice, np.zeros((5, 2)), star(np.random.default_rng(1), 50)[np.random.default_rng(2).permutation(50)]):
+        assert all(len(set(t)) == 3 for t in mesh.earcut([ring]))
+    assert sum(abs(mesh._turn(*knot[list(t)])) / 2 for t in mesh.earcut([knot])) > 12
+    crossed = [square(0, 0, 4), square(3, 1, 2)]  # the hole leaves the outside
+    assert mesh.earcut(crossed)
+
+
 def test_polygons_in_space():
     wall = np.array([[0, 0, 0], [0, 4, 0], [0, 4, 3], [0, 0, 3]], float)
     uv = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)

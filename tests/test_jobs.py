@@ -141,6 +141,79 @@ def test_merged_leaves_stay_where_they_are():
         assert np.allclose(merge.to_box(world[:, :3]), [s[k] for k in index.BOX])
 
 
+def world(folder, uri="tileset.json", above=None):
+    """(content file, points in the world) of a tileset and those it refers to, transforms composed."""
+    above = np.eye(4) if above is None else above
+    todo = [(json.load(open(folder / uri))["root"], above)]
+    while todo:
+        n, m = todo.pop()
+        m = m @ np.array(n.get("transform") or np.eye(4).ravel().tolist()).reshape(4, 4).T
+        todo += [(c, m) for c in n.get("children", [])]
+        name = (n.get("content") or {}).get("uri")
+        if name and name.endswith(".json"):
+            yield from world((folder / uri).parent, name, m)
+        elif name:
+            p = codec.decode_pnts(((folder / uri).parent / name).read_bytes())[0]
+            yield (folder / uri).parent / name, np.c_[p.xyz.astype(float) + np.array(p.rtc or [0, 0, 0]), np.ones(len(p))] @ m.T
+
+
+def test_merged_clouds_lie_where_their_points_are(spark, tmp_path):
+    """Two clouds far apart, of different scales, converted and merged; all points come back."""
+    clouds = {"a": cloud(300, 1) + [1000, 2000, 30], "b": cloud(200, 2) * 40 + [50000, -700, 5]}
+    for name, p in clouds.items():
+        df = spark.createDataFrame([("s", i, *map(float, v), 1, 2, 3) for i, v in enumerate(p)], "src string, seq long, x double, y double, z double, r int, g int, b int")
+        convert.convert_points(df, f"file://{tmp_path}/m/{name}", convert.Options(threshold=100, compact=5))
+    assert merge.merge(spark, f"file://{tmp_path}/m")["tiles"] == 1
+    found = list(world(tmp_path / "m"))
+    for name, p in clouds.items():
+        tiled = np.concatenate([x[:, :3] for f, x in found if f.parent.name == name and f.name != "r.pnts"])
+        top = np.concatenate([x[:, :3] for f, x in found if f.parent.name == name and f.name == "r.pnts"])
+        every = np.concatenate([tiled, top])
+        gap = np.abs(every[:, None] - p[None]).max(axis=2)
+        assert gap.min(axis=0).max() < 0.05 and gap.min(axis=1).max() < 0.05
+    over = np.concatenate([x[:, :3] for f, x in found if f.parent.name == "m"])
+    assert len(over) and np.abs(over[:, None] - np.concatenate(list(clouds.values()))[None]).max(axis=2).min(axis=1).max() < 0.1
+
+
+def test_quadrants_end_at_a_small_diagonal():
+    box = {"x0": 0.0, "y0": 0.0, "z0": 0.0, "x1": 3.0, "y1": 4.0, "z1": 9.0}
+    assert merge.levels(box) == 3 and 5 / 2**3 < merge.LEAST_DIAGONAL <= 5 / 2**2
+    assert merge.levels(box | {"x1": 0.0, "y1": 0.0}) == 0 and merge.levels(box | {"x1": 1e9}) == 12
+
+
+def test_tiles_divide_down_to_a_thousandth_before_scaling(spark):
+    """A cloud three kilometres wide with 300 points in five centimetres."""
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.random((100, 3)) * 3000, rng.random((300, 3)) * 0.05 + 1000])
+    df = spark.createDataFrame([("s", i, *map(float, v), 0, 0, 0) for i, v in enumerate(p)], "src string, seq long, x double, y double, z double, r int, g int, b int")
+    plain = lod.build(df, 20, order=("seq",))
+    scaled, meta = convert.prepare(df, convert.Options())
+    assert meta["scale"] == 0.01
+    again = lod.build(scaled, 20, order=("src", "seq"), scale=meta["scale"])
+    depth = [d.agg(F.max("depth")).first()[0] for d in (plain, again)]
+    assert depth[0] == depth[1] >= 14
+
+
+def test_z_up_features_come_back(spark, tmp_path):
+    """What a viewer does with a model (x, -z, y) and the tileset's transform gives the input."""
+    rings = [np.array([[0, 0, 1], [5, 0, 2], [5, 5, 3], [0, 5, 2]], float) + [1000 + 10 * i, 50 * i, 7] for i in range(3)]
+    df = spark.createDataFrame([(i, mesh.write_wkb([[r]])) for i, r in enumerate(rings)], "fid long, wkb binary")
+    export.export_z_up(df, f"file://{tmp_path}/out")
+    doc = json.load(open(tmp_path / "out/tileset.json"))
+    got, low, high = [], [], []
+    for f in (tmp_path / "out/tiles").iterdir():
+        head, body, _, _ = codec.decode_b3dm(f.read_bytes())
+        acc = head["accessors"][head["meshes"][0]["primitives"][0]["attributes"]["POSITION"]]
+        v = np.frombuffer(body, "<f4", 3 * acc["count"], head["bufferViews"][acc["bufferView"]]["byteOffset"]).reshape(-1, 3)
+        got.append(np.c_[v[:, 0], -v[:, 2], v[:, 1]] + doc["root"]["transform"][12:15])
+    got, want = np.concatenate(got), np.concatenate(rings)
+    gap = np.abs(got[:, None] - want[None]).max(axis=2)
+    assert gap.min(axis=0).max() < 0.01 and gap.min(axis=1).max() < 0.01
+    box = doc["root"]["boundingVolume"]["box"]
+    centre = np.array(box[:3]) + doc["root"]["transform"][12:15]
+    assert np.allclose(centre, (want.min(axis=0) + want.max(axis=0)) / 2, atol=0.01) and np.allclose([box[3], box[7], box[11]], np.ptp(want, axis=0) / 2, atol=0.01)
+
+
 def test_source_system_is_needed(spark):
     df = spark.createDataFrame([("s", 0, 2.0, 48.0, 10.0, 0, 0, 0)], "src string, seq long, x double, y double, z double, r int, g int, b int")
     with pytest.raises(crs.SourceSystemMissing):

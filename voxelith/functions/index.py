@@ -90,10 +90,9 @@ def box_of_path(tiles: DataFrame, root: DataFrame, most: int) -> DataFrame:
     return df
 
 
-def cell_key(cells: Column | int = 3) -> Column:
+def cell_key(cells: int = 3) -> Column:
     """The grid cell of (x, y, z) in the box x0..z1: `cells` per axis, x in the low bits."""
-    n = cells if isinstance(cells, int) else 3
-    shift = (n - 1).bit_length()
+    n, shift = cells, (cells - 1).bit_length()
     part = lambda c: f"least(greatest(cast(coalesce({n}D * ({c} - {c}0) / nullif({c}1 - {c}0, 0D), 0D) as int), 0), {n - 1})"
     return F.expr(f"{part('x')} + shiftleft({part('y')}, {shift}) + shiftleft({part('z')}, {2 * shift})")
 

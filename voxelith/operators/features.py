@@ -28,7 +28,7 @@ def contained(features: DataFrame, size: float = CELL) -> DataFrame:
 
 def assign(features: DataFrame, keep: int = KEEP, size: float = CELL, most: int = 10) -> DataFrame:
     """features with node: the cell, and the quarter digits at which the feature is among the
-    `keep` heaviest that are left.  At depth `most` a node keeps all."""
+    `keep` heaviest that are left; fid is unique.  At depth `most` a node keeps all."""
     own = features.columns
     cells = grid_cell(features, size)
     ext = features.agg(F.min("x0").alias("_x"), F.min("y0").alias("_y"))
@@ -37,13 +37,16 @@ def assign(features: DataFrame, keep: int = KEEP, size: float = CELL, most: int
     todo = todo.withColumn("_u", F.expr(f"_x + i * {size}D")).withColumn("_v", F.expr(f"_y + j * {size}D")).withColumn("node", F.format_string("%d_%d", "i", "j"))
     side, done = size, None
     for depth in range(most + 1):
+        todo = materialize(todo, "features")
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("weight").desc(), "fid"))
-        todo = materialize(todo.withColumn("_rank", rank), "features")
-        here = todo if depth == most else todo.where(F.col("_rank") <= keep)
-        here = here.select(*own, "node", F.lit(depth).alias("depth"))
-        done = here if done is None else done.unionByName(here)
-        todo = todo.where(F.col("_rank") > keep).drop("_rank")
-        if depth == most or not todo.take(1):
+        # A rank with a limit keeps `keep` rows of a node in each task before the shuffle.
+        here = todo if depth == most else materialize(todo.withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank"), "heaviest")
+        done_here = here.select(*own, "node", F.lit(depth).alias("depth"))
+        done = done_here if done is None else done.unionByName(done_here)
+        if depth == most:
+            break
+        todo = todo.join(here.select("fid"), "fid", "left_anti")
+        if not todo.take(1):
             break
         side /= 2
         right, up = F.col("_cx") >= F.col("_u") + side, F.col("_cy") >= F.col("_v") + side

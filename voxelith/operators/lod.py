@@ -71,26 +71,27 @@ def sample(points: DataFrame, group: tuple[str, ...], spacing: str, order: tuple
     return dealt.mapInArrow(run, schema)
 
 
-def build(points: DataFrame, threshold: int = index.SPLIT_COUNT, most_levels: int = 24, order: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+def build(points: DataFrame, threshold: int = index.SPLIT_COUNT, most_levels: int = 24, order: tuple[str, ...] = ("x", "y", "z"), scale: float = 1.0) -> DataFrame:
     """points with path and depth: every point lies in exactly one tile.
 
-    The root keeps none.  At each level a tile of fewer than `threshold` points, or of a spacing of
-    at most a thousandth of the scale, keeps all; another keeps a greedy sample at its spacing, cell
+    scale is what the points' coordinates have been multiplied with.  The root keeps none.  At each
+    level a tile of fewer than `threshold` points, or of a spacing of at most a thousandth before
+    scaling, keeps all; another keeps a greedy sample at its spacing, cell
     by cell, and hands the rest down.  A level's counts are a partial aggregate, its sample one
     shuffle by tile and cell, and each level is written to the shared folder."""
     own = points.columns
-    box = index.bounds(points).withColumn("_root", index.spacing()).withColumn("_scale", index.root_scale(F.col("_root")))
+    box = index.bounds(points).withColumn("_root", index.spacing())
     one = box.first()
     if one is None or one["x0"] is None:
         return points.withColumn("path", F.lit("")).withColumn("depth", F.lit(0))
-    root, scale = one["_root"], one["_scale"]
+    root = one["_root"]
     rest = points.crossJoin(F.broadcast(box.select(*index.BOX))).withColumn("path", F.lit(""))
     done: list[DataFrame] = []
     for level in range(1, most_levels + 1):
         space = root / 2**level
         rest = materialize(index.descend(rest), f"level{level}")
         counts = rest.groupBy("path").agg(F.count("*").alias("_n"))
-        fine = space * scale <= index.LEAST_SPACING * scale or level == most_levels
+        fine = space <= index.LEAST_SPACING * scale or level == most_levels
         big = materialize(counts.where(F.lit(not fine) & (F.col("_n") >= threshold)).select("path"), "big")
         done.append(rest.join(big, "path", "left_anti").select(*own, "path", F.lit(level).alias("depth")))
         if not big.take(1):

@@ -40,8 +40,10 @@ def read_points(spark: SparkSession, files: list[str]) -> DataFrame:
 
 
 def fraction(points: DataFrame, percent: int, *keys: str) -> DataFrame:
-    """About `percent` of a hundred points, chosen by a hash of keys: the same ones each time."""
-    return points if percent >= 100 else points.where(F.pmod(F.xxhash64(*keys), F.lit(100)) < percent)
+    """About `percent` of a hundred points, chosen by a hash of keys: the same ones each time, by any
+    program (the first eight digits of an MD5)."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8)
+    return points if percent >= 100 else points.where(F.conv(digits, 16, 10).cast("long") % 100 < percent)
 
 
 def alignment(corners: list[np.ndarray]) -> np.ndarray:
@@ -97,7 +99,7 @@ def convert_points(points: DataFrame, folder: str, options: Options | None = Non
     options = options or Options()
     guard(folder, options.overwrite)
     points, meta = prepare(points, options)
-    tiled = materialize(lod.build(points, options.threshold, order=("src", "seq")), "tiled")
+    tiled = materialize(lod.build(points, options.threshold, order=("src", "seq"), scale=meta["scale"]), "tiled")
     counts = tiling.tile_stats(tiled)
     targets = materialize(tiling.compact(counts, options.compact), "targets")
     placed = tiled.join(targets.select("path", "target"), "path").drop("path").withColumnRenamed("target", "path")

@@ -61,27 +61,36 @@ def tileset(nodes: list[dict], filled: set[str], transform: list[float]) -> dict
     return {"asset": {"version": "1.0"}, "geometricError": ROOT_ERROR, "root": root | {"transform": [round(float(v), 3) for v in transform]}}
 
 
-def export_features(features: DataFrame, folder: str, transform: list[float] | None = None) -> dict[str, int]:
-    """Write features(fid, wkb) as a tileset of b3dm files in folder."""
-    tri = materialize(wkb.triangles(features), "triangles")
-    placed = materialize(ops.assign(wkb.boxes(tri)), "assigned")
+def export_triangles(tri: DataFrame, folder: str, transform: list[float]) -> dict[str, int]:
+    """Write triangles with y up, as models have it, as a tileset of b3dm files in folder.  Boxes are
+    given with z up, as tilesets have it; the larger features of a cell come first."""
+    placed = materialize(ops.assign(ops.swap_up(wkb.boxes(tri, "y"))), "assigned")
     written = tiles.write_files(encode_nodes(tri, placed), folder).count()
     nodes = [r.asDict() for r in ops.node_boxes(placed).collect()]  # a row a node
     filled = {r["node"] for r in placed.select("node").distinct().collect()}
-    doc = tileset(nodes, filled, transform or linalg.column_major(np.eye(4)))
-    tiles.write_text(f"{folder}/tileset.json", json.dumps(doc))
+    tiles.write_text(f"{folder}/tileset.json", json.dumps(tileset(nodes, filled, transform)))
     return {"features": placed.count(), "tiles": written}
 
 
+def export_features(features: DataFrame, folder: str, transform: list[float] | None = None) -> dict[str, int]:
+    """Write features(fid, wkb), whose y axis points up, as a tileset."""
+    return export_triangles(materialize(wkb.triangles(features), "triangles"), folder, transform or linalg.column_major(np.eye(4)))
+
+
+def export_z_up(features: DataFrame, folder: str) -> dict[str, int]:
+    """Write features(fid, wkb), whose z axis points up: moved to their centre, which the tileset's
+    transform undoes, and turned to y up, which viewers undo."""
+    tri = materialize(wkb.triangles(features), "triangles")
+    box = wkb.boxes(tri).agg(*[((F.min(f"{c}0") + F.max(f"{c}1")) / 2).alias(c) for c in "xyz"]).first()
+    offset = [box[c] or 0.0 for c in "xyz"]
+    return export_triangles(materialize(wkb.turned(tri, offset), "turned"), folder, linalg.column_major(linalg.translation_matrix(offset)))
+
+
 def export_directory(spark: SparkSession, source: str, folder: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> dict[str, int]:
-    """Write the WKB files of a folder, moved by -offset."""
+    """Write the WKB files of a folder, placed by offset."""
     return export_features(wkb.read_wkb(spark, source), folder, linalg.column_major(linalg.translation_matrix(offset)))
 
 
 def export_database(spark: SparkSession, url: str, table: str, column: str, folder: str, id_column: str | None = None, **options: str) -> dict[str, int]:
-    """Write a database's features, centred and turned to y up as viewers expect."""
-    found = wkb.read_database(spark, url, table, column, id_column, **options)
-    tri = wkb.triangles(found)
-    box = wkb.boxes(tri).agg(*[((F.min(f"{c}0") + F.max(f"{c}1")) / 2).alias(c) for c in "xyz"]).first()
-    offset = [box[c] or 0.0 for c in "xyz"]
-    return export_features(found, folder, linalg.column_major(linalg.translation_matrix(offset)))
+    """Write a database's features."""
+    return export_z_up(wkb.read_database(spark, url, table, column, id_column, **options), folder)

@@ -20,6 +20,7 @@ def describe(content: bytes) -> str:
     h = codec.header(content)
     lines = ["Tile header", "-" * 11, f"Magic value: {h['magic'].decode()}", f"Version: {h['version']}", f"Tile byte length: {h['total']}"]
     lines += [f"Feature table json byte length: {h['ft_json']}", f"Feature table bin byte length: {h['ft_bin']}"]
+    lines += [f"Batch table json byte length: {h['bt_json']}", f"Batch table bin byte length: {h['bt_bin']}"]
     if h["magic"] == b"pnts":
         points, batch = codec.decode_pnts(content)
         lines += ["", "Feature table", "-" * 13, f"Points: {len(points)}", f"Colors: {points.rgb is not None}", f"Center: {points.rtc}"]

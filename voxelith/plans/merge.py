@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,9 +77,37 @@ def overview(points: DataFrame, path: str = "path", by: str = "id", most: int =
     return points.join(take, [path, by]).withColumn("_rank", rank).where("_rank <= _take").drop("_rank", "_take")
 
 
+def levels(box: dict[str, float], most: int = 12) -> int:
+    """Divisions of a box until a quadrant's diagonal, seen from above, is under LEAST_DIAGONAL."""
+    wide = float(np.hypot(box["x1"] - box["x0"], box["y1"] - box["y0"]))
+    return min(most, max(0, int(np.floor(np.log2(wide / LEAST_DIAGONAL))) + 1) if wide > 0 else 0)
+
+
+def root_points(spark: SparkSession, sets: list[dict], paths: dict[int, str], inverse: np.ndarray) -> DataFrame:
+    """(id, path, x, y, z, r, g, b): the points of all inputs' root tiles in the first one's frame, once
+    for each inner quadrant above the input.  One reading, joined with a row an input."""
+    rows = []
+    for s in sets:
+        if s["content"]:
+            m = inverse @ np.array(s["transform"]).reshape(4, 4).T
+            inner = [paths[s["id"]][:i] for i in range(len(paths[s["id"]]))] or [""]
+            rows.append((posixpath.join(posixpath.dirname(s["uri"]), s["content"]), s["id"], inner, m[:3].ravel().tolist()))
+    if not rows:
+        return None
+    meta = spark.createDataFrame([(_bare(u), *rest) for u, *rest in rows], "_uri string, id long, _paths array<string>, _m array<double>")
+    own = tiles.tile_points(tiles.read_tiles(spark, [r[0] for r in rows])).withColumn("_uri", F.regexp_replace("uri", "^[A-Za-z0-9]+:/*", "/"))
+    m = F.col("_m")
+    moved = {c: m[4 * i] * F.col("x") + m[4 * i + 1] * F.col("y") + m[4 * i + 2] * F.col("z") + m[4 * i + 3] for i, c in enumerate("xyz")}
+    return own.join(meta, "_uri").withColumns(moved).withColumn("path", F.explode("_paths")).drop("_uri", "_paths", "_m")
+
+
+def _bare(uri: str) -> str:
+    return re.sub("^[A-Za-z0-9]+:/*", "/", uri)
+
+
 def merge(spark: SparkSession, folder: str, overwrite: bool = False) -> dict[str, int]:
     """Write folder/tileset.json over the tilesets below folder, and an overview for each inner
-    quadrant."""
+    quadrant.  The driver holds a row an input, which the merged JSON names one by one anyway."""
     found = [r for r in tiles.read_tilesets(spark, folder).collect() if posixpath.dirname(r["uri"]) != posixpath.dirname(f"file://{las.open_uri(folder)[1]}/x")]
     sets = [{"id": i, **describe(r["uri"], r["json"])} for i, r in enumerate(sorted(found, key=lambda r: r["uri"]))]
     system, base = las.open_uri(folder)
@@ -88,26 +117,15 @@ def merge(spark: SparkSession, folder: str, overwrite: bool = False) -> dict[str
     if not sets:
         return {"tilesets": 0, "tiles": 0}
     frame = spark.createDataFrame([(s["id"], *[s[k] for k in index.BOX]) for s in sets], "id long, " + ", ".join(f"{k} double" for k in index.BOX))
-    paths = {r["id"]: r["path"] for r in quadtree(frame).collect()}
+    whole = {k: (min if k[1] == "0" else max)(s[k] for s in sets) for k in index.BOX}
+    paths = {r["id"]: r["path"] for r in quadtree(frame, levels(whole)).collect()}
     first = np.array(sets[0]["transform"]).reshape(4, 4).T
-    inverse = linalg.inverse_matrix(first)
-    parts = []
-    for s in sets:
-        if not s["content"]:
-            continue
-        tile = posixpath.join(posixpath.dirname(s["uri"]), s["content"])
-        own = tiles.tile_points(tiles.read_tiles(spark, tile))
-        own = own.withColumns(dict(zip("xyz", linalg.transform_point(inverse @ np.array(s["transform"]).reshape(4, 4).T), strict=True)))
-        inner = [paths[s["id"]][:i] for i in range(len(paths[s["id"]]))] or [""]
-        parts.append(own.withColumn("id", F.lit(s["id"])).withColumn("path", F.explode(F.array(*[F.lit(p) for p in inner]))))
+    every = root_points(spark, sets, paths, linalg.inverse_matrix(first))
     made = 0
-    if parts:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
+    if every is not None:
         content = tiles.encode_tiles(overview(every), ("id", "x", "y", "z"), True).where("n > 0")
         made = tiles.write_files(content.select(F.concat(F.lit("r"), "path", F.lit(".pnts")).alias("name"), "content"), folder).count()
-    doc = assemble(sets, paths, first, folder, bool(parts))
+    doc = assemble(sets, paths, first, folder, every is not None)
     tiles.write_text(f"{folder}/tileset.json", json.dumps(doc))
     return {"tilesets": len(sets), "tiles": made}
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from voxelith.clouds import CLOUD_SQL
 from voxelith.functions import codec, color, crs, index, linalg, mesh
 from voxelith.operators import features, lod, tiling
 from voxelith.operators.tables import materialize
-from voxelith.plans import merge
+from voxelith.plans import convert, merge
 from voxelith.sources import tiles, wkb, xyz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,7 +231,31 @@ def voxel_first_sample(s, d):
     return tiling.voxel_first(clouds.p3(s, d), 0.25)
 
 
-@query("poisson_sample")
+_CELL3P = lambda c: f"least(greatest(cast(trunc(3 * ({c} - {c}0) / nullif({c}1 - {c}0, 0)) as int), 0), 2)"
+_CELL_KEY = f"{_CELL3P('x')} + ({_CELL3P('y')} << 2) + ({_CELL3P('z')} << 4)"
+
+
+def greedy_sql(name: str, points: str, group: str, order: str, keep: str) -> str:
+    """CTEs: <name>r ranks the rows of `points` (x, y, z, gap, ...) within group; <name> walks each
+    group in order and says of each row whether it is kept, `held` being the kept ones so far."""
+    far = "(h.x - x) * (h.x - x) + (h.y - y) * (h.y - y) + (h.z - z) * (h.z - z) < gap * gap"
+    own = "struct_pack(x := x, y := y, z := z)"
+    cols = ", ".join(f"r.{c}" for c in keep.split(", "))
+    return (
+        f"{name}r as (select *, row_number() over (partition by {group} order by {order}) as k from {points}), "
+        f"{name} as (select {keep}, {group}, x, y, z, k, true as kept, [{own}] as held from {name}r where k = 1 union all "
+        f"select {keep}, {group}, x, y, z, k, ok, case when ok then list_append(held, {own}) else held end from (select {cols}, "
+        + ", ".join(f"r.{g}" for g in group.split(", "))
+        + f", r.x, r.y, r.z, r.k, s.held, len(list_filter(s.held, lambda h: {far.replace(' x)', ' r.x)').replace(' y)', ' r.y)').replace(' z)', ' r.z)').replace('gap', 'r.gap')})) = 0 as ok "
+        f"from {name} s join {name}r r on " + " and ".join(f"r.{g} = s.{g}" for g in group.split(", ")) + " and r.k = s.k + 1))"
+    )
+
+
+@query(
+    "poisson_sample",
+    f"with recursive pts as (select *, vec_id from ({CLOUD_SQL['p3'].replace(' from', ', vec_id from')})), box as (select min(x) x0, min(y) y0, min(z) z0, max(x) x1, max(y) y1, max(z) z1 from pts), "
+    f"b as (select vec_id, x, y, z, {_CELL_KEY} as cell, {_DIAGONAL} / 125 * 8 as gap from pts, box), " + greedy_sql("g", "b", "cell", "vec_id", "vec_id") + " select vec_id, cell, kept from g",
+)
 def poisson_sample(s, d):
     p = clouds.p3(s, d, "vec_id")
     meta = tiling.metadata(p).select(*index.BOX, (F.col("spacing") * 8).alias("gap"))
@@ -237,12 +263,41 @@ def poisson_sample(s, d):
     return lod.sample(boxed, ("cell",), "gap", ("vec_id",)).select("vec_id", "cell", "kept")
 
 
-@query("lod_build")
+def lod_sql(cloud: str, key: str, order: str, threshold: int, levels: int) -> str:
+    """(path, depth, n) of a tree of at most `levels`, level by level as it is built."""
+    out = f"with recursive pts as (select * from ({cloud})), box as (select min(x) x0, min(y) y0, min(z) z0, max(x) x1, max(y) y1, max(z) z1 from pts), sp as (select {_DIAGONAL} / 125 as root from box), "
+    out += f"rest0 as (select {key}, x, y, z, x0, y0, z0, x1, y1, z1, '' as path from pts, box)"
+    bit = lambda c: f"case when {c}1 > {c}0 and {c} - ({c}0 + {c}1) / 2 >= 0 then 1 else 0 end"
+    lo = lambda c, b: f"case when {b} = 1 then ({c}0 + {c}1) / 2 else {c}0 end as {c}0"
+    hi = lambda c, b: f"case when {b} = 1 then {c}1 else ({c}0 + {c}1) / 2 end as {c}1"
+    done = []
+    for n in range(1, levels + 1):
+        out += f", f{n} as (select *, coalesce((z1 - z0) / nullif(least(x1 - x0, y1 - y0), 0) < {_D(0.5)}, false) as flat, {bit('x')} as bx, {bit('y')} as by_, {bit('z')} as bzz from rest{n - 1})"
+        out += f", g{n} as (select *, case when flat then 0 else bzz end as bz from f{n})"
+        zs = "case when not flat and bz = 1 then (z0 + z1) / 2 else z0 end as z0, case when flat or bz = 1 then z1 else (z0 + z1) / 2 end as z1"
+        out += f", t{n} as materialized (select {key}, x, y, z, {lo('x', 'bx')}, {lo('y', 'by_')}, {hi('x', 'bx')}, {hi('y', 'by_')}, {zs}, path || cast(4 * bx + 2 * by_ + bz as varchar) as path from g{n})"
+        out += f", big{n} as materialized (select path from t{n}, sp group by path, root having {n < levels} and count(*) >= {threshold} and root / {2**n} > {_D(0.001)})"
+        out += f", in{n} as materialized (select t.*, {_CELL_KEY} as cell, root / {2**n} as gap from t{n} t join big{n} using (path), sp), "
+        out += greedy_sql(f"k{n}", f"in{n}", "path, cell", order, key + ", x0, y0, z0, x1, y1, z1")
+        out += f", rest{n} as materialized (select {key}, x, y, z, x0, y0, z0, x1, y1, z1, path from k{n} where not kept)"
+        done += [f"select path, {n} as depth from t{n} where path not in (select path from big{n})", f"select path, {n} as depth from k{n} where kept"]
+    return out + " select path, depth, count(*) as n from (" + " union all ".join(done) + ") group by 1, 2"
+
+
+@query("lod_build", lod_sql(CLOUD_SQL["p1"].replace(" from", ", l_orderkey from"), "l_orderkey", "x, y, z", SMALL_SPLIT, 4))
 def lod_build(s, d):
-    return lod.build(clouds.p1(s, d, "l_orderkey", "l_linenumber"), SMALL_SPLIT).groupBy("path", "depth").agg(F.count("*").alias("n"))
+    return lod.build(clouds.p1(s, d, "l_orderkey"), SMALL_SPLIT, 4).groupBy("path", "depth").agg(F.count("*").alias("n"))
+
 
+@query("lod_build_p3", lod_sql(CLOUD_SQL["p3"].replace(" from", ", vec_id from"), "vec_id", "vec_id", 30, 6))
+def lod_build_p3(s, d):
+    return lod.build(clouds.p3(s, d, "vec_id"), 30, 6, ("vec_id",)).groupBy("path", "depth").agg(F.count("*").alias("n"))
 
-@query("root_overview")
+
+@query(
+    "root_overview",
+    f"with recursive {_box_sql(CLOUD_SQL['p3'])}, b as (select x, y, z, {_CELL_KEY} as cell, {_DIAGONAL} / 125 * 4 as gap, 1 as one from pts, box), " + greedy_sql("g", "b", "cell", "x, y, z", "one") + " select x, y, z from g where kept",
+)
 def root_overview(s, d):
     p = clouds.p3(s, d)
     tiled = index.with_paths(p, 1).select("x", "y", "z", "path").withColumn("depth", F.lit(1))
@@ -329,9 +384,8 @@ def feature_lod_top20(s, d):
     return cells.withColumn("k", F.row_number().over(Window.partitionBy("i", "j").orderBy(F.col("weight").desc(), "fid"))).where("k <= 20").select("fid", "i", "j")
 
 
-def _assign_sql(most: int = 3) -> str:
-    out = f"with f as ({_ORDER_BOX}), {_CELLS}, t0 as (select fid, weight, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy, ex + i * {_D(2000)} as u, ey + j * {_D(2000)} as v, cast(i as varchar) || '_' || cast(j as varchar) as node from c)"
-    side = 2000.0
+def _assign_sql(most: int = 3, boxes: str = _ORDER_BOX, side: float = 2000.0) -> str:
+    out = f"with f as ({boxes}), {_CELLS.replace('/ 2000', f'/ {side:g}')}, t0 as (select fid, weight, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy, ex + i * {_D(side)} as u, ey + j * {_D(side)} as v, cast(i as varchar) || '_' || cast(j as varchar) as node from c)"
     for k in range(most + 1):
         out += f", r{k} as (select *, row_number() over (partition by node order by weight desc, fid) as k from t{k})"
         if k < most:
@@ -430,14 +484,35 @@ def geodetic_to_ecef(s, d):
     return g.select("c_custkey", *[F.round(c, 3).alias(n) for c, n in zip(crs.to_ecef(F.col("lon"), F.col("lat"), F.col("h")), "xyz", strict=True)])
 
 
-@query("reproject_round_trip", "select c_custkey, cast(true as boolean) as same from customer")
-def reproject_round_trip(s, d):
+def _lambert_sql() -> str:
+    """EPSG 3949 by the formulas of the conformal conic with two standard parallels, on GRS 80."""
+    f = 1 / 298.257222101
+    e = f"sqrt({_D(f * (2 - f))})"
+    t = lambda p: f"(tan(pi() / 4 - {p} / 2) / pow((1 - {e} * sin({p})) / (1 + {e} * sin({p})), {e} / 2))"
+    m = lambda p: f"(cos({p}) / sqrt(1 - {e} * {e} * sin({p}) * sin({p})))"
+    out = "with g as (select c_custkey, radians(cast(c_custkey % 9 - 4 as double)) as lon, radians(cast(c_custkey % 8 + 42 as double)) as lat from customer), "
+    out += f"k as (select radians({_D(48.25)}) as p1, radians({_D(49.75)}) as p2, radians({_D(49)}) as p0, radians({_D(3)}) as l0), "
+    out += f"c as (select *, (ln({m('p1')}) - ln({m('p2')})) / (ln({t('p1')}) - ln({t('p2')})) as n from k), "
+    out += f"d as (select *, 6378137 * {m('p1')} / (n * pow({t('p1')}, n)) as af from c) "
+    return out + f"select c_custkey, round(1700000 + af * pow({t('lat')}, n) * sin(n * (lon - l0)), 3) as x, round(8200000 + af * pow({t('p0')}, n) - af * pow({t('lat')}, n) * cos(n * (lon - l0)), 3) as y from g, d"
+
+
+@query("reproject_lambert", _lambert_sql())
+def reproject_lambert(s, d):
+    g = clouds.table(s, d, "customer").selectExpr("c_custkey", "double(c_custkey % 9 - 4) as lon", "double(c_custkey % 8 + 42) as lat", "double(0) as h")
+    x, y, _ = crs.reproject(F.col("lon"), F.col("lat"), F.col("h"), 4326, 3949)
+    return g.select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query("reproject_back", "select c_custkey, cast(c_custkey % 9 - 4 as double) as lon, cast(c_custkey % 8 + 42 as double) as lat, round(c_acctbal, 2) as h from customer")
+def reproject_back(s, d):
+    """Through a plane and a geocentric system back to where it began."""
     g = clouds.table(s, d, "customer").selectExpr("c_custkey", "double(c_custkey % 9 - 4) as lon", "double(c_custkey % 8 + 42) as lat", "c_acctbal as h")
     x, y, z = crs.reproject(F.col("lon"), F.col("lat"), F.col("h"), 4326, 3949)
-    g = g.select("*", x.alias("x"), y.alias("y"), z.alias("z"))
-    g = g.select("*", *[c.alias(f"e{n}") for c, n in zip(crs.reproject(F.col("x"), F.col("y"), F.col("z"), 3949, 4978), "xyz", strict=True)])
+    g = g.select("c_custkey", x.alias("x"), y.alias("y"), z.alias("z"))
+    g = g.select("c_custkey", *[c.alias(f"e{n}") for c, n in zip(crs.reproject(F.col("x"), F.col("y"), F.col("z"), 3949, 4978), "xyz", strict=True)])
     lon, lat, h = crs.reproject(F.col("ex"), F.col("ey"), F.col("ez"), 4978, 4326)
-    return g.select("c_custkey", ((F.abs(lon - F.col("lon")) < 1e-8) & (F.abs(lat - F.col("lat")) < 1e-8) & (F.abs(h - F.col("h")) < 1e-3)).alias("same"))
+    return g.select("c_custkey", (F.round(lon, 7) + 0.0).alias("lon"), F.round(lat, 7).alias("lat"), F.round(h, 2).alias("h"))
 
 
 # colours, text, fractions
@@ -465,10 +540,9 @@ def xyz_parse(s, d):
     return clouds.table(s, d, "lineitem").select(line.alias("value")).select(*xyz.parse()).select("x", "y", "z", "r")
 
 
-@query("fraction_filter", "select l_orderkey, l_linenumber from lineitem where (l_orderkey * 7 + l_linenumber) % 100 < 30")
+@query("fraction_filter", "select l_orderkey, l_linenumber from lineitem where ('0x' || substr(md5(cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)), 1, 8))::bigint % 100 < 30")
 def fraction_filter(s, d):
-    li = clouds.table(s, d, "lineitem")
-    return li.where(F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(100)) < 30).select("l_orderkey", "l_linenumber")
+    return convert.fraction(clouds.table(s, d, "lineitem"), 30, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
 
 
 _MORTON = " + ".join(f"((ix >> {i}) & 1) * {4**i} + ((iy >> {i}) & 1) * {2 * 4**i}" for i in range(15))
@@ -523,49 +597,81 @@ def tile_header_decode(s, d):
 )
 def batch_table_json(s, d):
     rows = F.sort_array(F.collect_list(F.struct("p_partkey", "p_size")))
-    g = clouds.table(s, d, "part").groupBy("p_brand").agg(rows.alias("r"))
-    g = g.select("p_brand", F.to_json(F.struct(F.col("r.p_partkey").alias("key"), F.col("r.p_size").alias("size"))).alias("t"))
-    return g.select("p_brand", F.concat("t", F.repeat(F.lit(" "), (F.lit(4) - F.length("t") % 4).cast("int"))).alias("json"))
+    g = clouds.table(s, d, "part").groupBy("p_brand").agg(rows.alias("r")).select("p_brand", F.col("r.p_partkey").alias("key"), F.col("r.p_size").alias("size"))
+
+    def encode(batches):
+        for b in batches:
+            texts = [codec.batch_table_json({"key": k, "size": n}).decode() for k, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts)], names=["p_brand", "json"])
+
+    return g.mapInArrow(encode, "p_brand string, json string")
 
 
 @query(
     "b3dm_header_bytes",
-    f"with w as (select p_brand, cast(4 * count(*) as bigint) as b, cast(100 * count(*) as bigint) as g from part group by 1) select p_brand, '6233646D' || {_WORD('1')} || {_WORD('28 + b + g')} || '0000000000000000' || {_WORD('b')} || '00000000' as header from w",
+    "with b as (select p_brand, count(*) as n, '{\"id\":[' || string_agg(cast(p_partkey as varchar), ',' order by p_partkey) || ']}' as t from part group by 1), "
+    "l as (select p_brand, cast(length(t) + 4 - length(t) % 4 as bigint) as b, cast(100 * n as bigint) as g from b) "
+    f"select p_brand, '6233646D' || {_WORD('1')} || {_WORD('28 + b + g')} || '0000000000000000' || {_WORD('b')} || '00000000' as header from l",
 )
 def b3dm_header_bytes(s, d):
-    g = clouds.table(s, d, "part").groupBy("p_brand").agg((F.count("*") * 4).alias("b"), (F.count("*") * 100).alias("g"))
-    words = [F.lit(1), F.col("b") + F.col("g") + 28, F.lit(0), F.lit(0), F.col("b"), F.lit(0)]
-    return g.select("p_brand", F.concat(F.hex(F.lit("b3dm")), *[codec.word(w) for w in words]).alias("header"))
+    g = clouds.table(s, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list("p_partkey")).alias("ids"))
+
+    def encode(batches):
+        for b in batches:
+            heads = [codec.encode_b3dm(bytes(100 * len(ids)), {"id": ids})[:28].hex().upper() for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(heads)], names=["p_brand", "header"])
+
+    return g.mapInArrow(encode, "p_brand string, header string")
 
 
 # meshes
 
 _FOOT = "select p_partkey as fid, cast(p_partkey % 100 as double) * 10 as x, cast(p_partkey // 100 as double) * 10 as y, cast(p_size as double) / 10 as w, p_retailprice / 1000 as h from part"
+#: A footprint rises by these along x and y.
+_TILT = "cast(p_size % 7 - 3 as double) / 4", "cast(p_partkey % 5 - 2 as double) / 4"
 
 
-def _footprints(s: SparkSession, d: str) -> DataFrame:
-    """A rectangle with a square hole for each part, as WKB."""
-    p = clouds.table(s, d, "part").selectExpr("p_partkey as fid", "double(p_partkey % 100) * 10 as x", "double(p_partkey div 100) * 10 as y", "double(p_size) / 10 as w", "p_retailprice / 1000 as h")
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    tilt = [f"double({a} % {m} - {k}) / 4" for a, m, k in (("p_size", 7, 3), ("p_partkey", 5, 2))]
+    return clouds.table(s, d, "part").selectExpr("p_partkey as fid", "double(p_partkey % 100) * 10 as x", "double(p_partkey div 100) * 10 as y", "double(p_size) / 10 as w", "p_retailprice / 1000 as h", f"{tilt[0]} as a", f"{tilt[1]} as b")
 
-    def rows(frames):
-        for f in frames:
+
+def _as_wkb(parts: DataFrame, shape, tilted: bool = False) -> DataFrame:
+    """(fid, wkb) of parts; shape gives rings in units of w for a part's number."""
+
+    def rows(batches):
+        for batch in batches:
+            fid, x, y, w, h, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fid", "x", "y", "w", "h", "a", "b"))
             out = []
-            for r in f.itertuples():
-                ring = np.array([[r.x, r.y, r.h], [r.x + r.w, r.y, r.h], [r.x + r.w, r.y + r.w, r.h], [r.x, r.y + r.w, r.h]])
-                hole = np.array([r.x, r.y, r.h]) + (ring - ring[0]) * 0.5 + np.array([r.w, r.w, 0]) * 0.25
-                out.append(mesh.write_wkb([[ring, hole[::-1]]]))
-            yield f[["fid"]].assign(wkb=out)
+            for i in range(len(fid)):
+                rings = []
+                for ring in shape(int(fid[i])):
+                    u = np.array(ring, float) * w[i]
+                    z = h[i] + (a[i] * u[:, 0] + b[i] * u[:, 1] if tilted else 0 * u[:, 0])
+                    rings.append(np.c_[u[:, 0] + x[i], u[:, 1] + y[i], z])
+                out.append(mesh.write_wkb([rings]))
+            yield pa.RecordBatch.from_arrays([batch.column("fid"), pa.array(out, pa.binary())], names=["fid", "wkb"])
+
+    return parts.mapInArrow(rows, "fid long, wkb binary")
+
 
-    return p.mapInPandas(rows, "fid long, wkb binary")
+_SQUARE = [(0, 0), (1, 0), (1, 1), (0, 1)]
+_HOLED = [_SQUARE, [(0.25, 0.75), (0.75, 0.75), (0.75, 0.25), (0.25, 0.25)]]
+
+
+def _footprints(s: SparkSession, d: str) -> DataFrame:
+    """A square with a square hole for each part, as WKB."""
+    return _as_wkb(_parts(s, d), lambda i: _HOLED)
 
 
 @query("polygon_signed_area", f"select fid, round(w * w * {_D(0.75)}, 6) as area from ({_FOOT})")
 def polygon_signed_area(s, d):
-    def rows(frames):
-        for f in frames:
-            yield f[["fid"]].assign(area=[round(sum(mesh.signed_area(r) for r in mesh.read_wkb(bytes(w))[0]) / 2, 6) for w in f["wkb"]])
+    def rows(batches):
+        for b in batches:
+            areas = [round(sum(mesh.signed_area(r) for r in mesh.read_wkb(w)[0]) / 2, 6) for w in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(areas)], names=["fid", "area"])
 
-    return _footprints(s, d).mapInPandas(rows, "fid long, area double")
+    return _footprints(s, d).mapInArrow(rows, "fid long, area double")
 
 
 @query("triangulated_area", f"select fid, round(w * w * {_D(0.75)}, 6) as area, round(h, 6) as z from ({_FOOT})")
@@ -574,32 +680,72 @@ def triangulated_area(s, d):
     return t.select("fid", F.round("weight", 6).alias("area"), F.round("z1", 6).alias("z"))
 
 
-@query("triangle_normals", f"select fid, {_D(0)} as nx, {_D(0)} as ny, {_D(1)} as nz from ({_FOOT}) where w > 0")
-def triangle_normals(s, d):
-    t = wkb.triangles(_footprints(s, d))
-    return t.groupBy("fid").agg(*[(F.max(c) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
+def _shape(i: int) -> list[list[tuple[float, float]]]:
+    """A square with a hole, an L, a comb, two squares that touch in a corner, a hole that touches the
+    outside, two holes that touch each other."""
+    kind = i % 6
+    if kind == 0:
+        return _HOLED
+    if kind == 1:
+        return [[(0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)]]
+    if kind == 2:
+        n = 2 + i % 5
+        teeth = [p for k in range(n - 1, -1, -1) for p in (((2 * k + 1) / (2 * n), 0.25), ((2 * k + 1) / (2 * n), 0.75), (k / n, 0.75), (k / n, 0.25))]
+        return [[(0, 0), (1, 0), (1, 0.25), *teeth]]
+    if kind == 3:
+        return [[(0, 0), (0.5, 0), (0.5, 0.5), (1, 0.5), (1, 1), (0.5, 1), (0.5, 0.5), (0, 0.5)]]
+    if kind == 4:
+        return [_SQUARE, [(0.5, 0), (0.25, 0.5), (0.75, 0.5)]]
+    return [_SQUARE, [(0.5, 0.5), (0.125, 0.25), (0.25, 0.125)], [(0.5, 0.5), (0.875, 0.75), (0.75, 0.875)]]
 
 
-@query("earcut_deviation", f"select fid, true as exact from ({_FOOT})")
-def earcut_deviation(s, d):
-    def rows(frames):
-        for f in frames:
-            out = []
-            for w in f["wkb"]:
-                rings = mesh.read_wkb(bytes(w))[0]
-                out.append(mesh.deviation(rings, mesh.earcut(rings)) < 1e-9)
-            yield f[["fid"]].assign(exact=out)
+@query(
+    "earcut_shapes",
+    f"select fid, round(w * w * case fid % 6 when 2 then {_D(0.5)} when 3 then {_D(0.5)} when 4 then {_D(0.875)} when 5 then {_D(1 - 2 * 0.0390625)} else {_D(0.75)} end, 6) as area from ({_FOOT})",
+)
+def earcut_shapes(s, d):
+    t = wkb.boxes(wkb.triangles(_as_wkb(_parts(s, d), _shape)))
+    return t.select("fid", F.round("weight", 6).alias("area"))
 
-    return _footprints(s, d).mapInPandas(rows, "fid long, exact boolean")
+
+@query(
+    "triangle_normals",
+    f"with f as (select p_partkey as fid, {_TILT[0]} as a, {_TILT[1]} as b from part) select fid, round(-a / sqrt(1 + a * a + b * b), 6) + 0 as nx, round(-b / sqrt(1 + a * a + b * b), 6) + 0 as ny, round(1 / sqrt(1 + a * a + b * b), 6) as nz, 8 as n from f",
+)
+def triangle_normals(s, d):
+    t = wkb.triangles(_as_wkb(_parts(s, d), lambda i: _HOLED, True))
+    same = [F.round(F.avg(c), 6) + 0.0 for c in ("nx", "ny", "nz")]
+    return t.groupBy("fid").agg(*[c.alias(n) for c, n in zip(same, ("nx", "ny", "nz"), strict=True)], F.count("*").cast("int").alias("n"))
 
 
-@query("glb_size")
-def glb_size(s, d):
+_FOOT_BOX = f"select fid, x as x0, y as y0, h as z0, x + w as x1, y + w as y1, h as z1, round(w * w * {_D(0.75)}, 6) as weight from ({_FOOT})"
+_B3DM_SQL = _assign_sql(3, _FOOT_BOX, 500.0)
+_B3DM_AT = _B3DM_SQL.index(" select fid, node, 0 as depth")
+
+
+@query(
+    "b3dm_contents",
+    _B3DM_SQL[:_B3DM_AT] + ", placed as (" + _B3DM_SQL[_B3DM_AT:] + ") select 'tiles/' || node || '.b3dm' as name, count(*) as features, 24 * count(*) as vertices, cast(count(*) - 1 as double) as last_batch, 672 * count(*) as body, cast(sum(fid) as bigint) as ids from placed group by node",
+)
+def b3dm_contents(s, d):
+    """What the written files hold when they are read again: a mesh of 8 triangles for each feature."""
     from voxelith.plans.export import encode_nodes
 
-    tri = wkb.triangles(_footprints(s, d))
-    placed = features.assign(wkb.boxes(tri), size=500.0)
-    return encode_nodes(tri, placed).select("name", F.length("content").alias("bytes"), *codec.header_columns()[:2])
+    tri = materialize(wkb.triangles(_footprints(s, d)), "triangles")
+    placed = features.assign(wkb.boxes(tri).withColumn("weight", F.round("weight", 6)), size=500.0, most=3)
+
+    def decode(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head, body, table, _ = codec.decode_b3dm(content)
+                acc = dict(zip(head["meshes"][0]["primitives"][0]["attributes"], head["accessors"], strict=True))
+                rows.append((name, len(table["id"]), acc["POSITION"]["count"], acc["_BATCHID"]["max"][0], len(body), sum(table["id"])))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["name", "features", "vertices", "last_batch", "body", "ids"])
+
+    return encode_nodes(tri, placed).select("name", "content").mapInArrow(decode, "name string, features long, vertices long, last_batch double, body long, ids long")
 
 
 @query("event_props_parse", "select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1")
@@ -661,10 +807,58 @@ def cloud_union(s, d):
     return every.groupBy("cloud").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("z").alias("z1"))
 
 
-@query("subtree_error_sum", _quadrants_sql(4) + f" select substr(path, 1, 1) as quadrant, count(*) as n, cast(sum(id) as bigint) as error from q4 group by 1")
+def _tilesets(s: SparkSession, d: str, moved: bool) -> list[dict]:
+    """A tileset for each supplier's points, every one with a transform and an error of its own; unless
+    moved, the transform costs no digit of x and y, so that quadrants are those of the plain boxes."""
+    quarter = np.array([[0, -1, 0, 0], [1, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1.0]])
+    out = []
+    for r in sorted(_sets(s, d).collect(), key=lambda r: r["id"]):
+        m = linalg.concatenate_matrices(linalg.translation_matrix([r["id"] * moved, -2 * r["id"] * moved, 5]), quarter, linalg.scale_matrix(0.25 * 2 ** (r["id"] % 3)))
+        corners = np.array([[r[f"x{i & 1}"], r[f"y{i >> 1 & 1}"], r[f"z{i >> 2}"], 1] for i in range(8)]) @ linalg.inverse_matrix(m).T
+        low, high = corners[:, :3].min(axis=0), corners[:, :3].max(axis=0)
+        root = {"transform": linalg.column_major(m), "boundingVolume": {"box": [*((low + high) / 2).tolist(), *np.diag((high - low) / 2).ravel().tolist()]}}
+        out.append({"id": r["id"], **merge.describe(f"file:///d/{r['id']}/tileset.json", json.dumps({"geometricError": r["id"] / 4, "root": root}))})
+    return out
+
+
+def _merged(s: SparkSession, d: str, levels: int, moved: bool) -> dict:
+    sets = _tilesets(s, d, moved)
+    frame = s.createDataFrame([(t["id"], *[t[k] for k in index.BOX]) for t in sets], "id long, " + ", ".join(f"{k} double" for k in index.BOX))
+    paths = {r["id"]: r["path"] for r in merge.quadtree(frame, levels).collect()}
+    return merge.assemble(sets, paths, np.array(sets[0]["transform"]).reshape(4, 4).T, "file:///d", True)
+
+
+def _nodes(doc: dict):
+    """The nodes of a tileset with the product of the transforms above and at them."""
+    todo = [(doc["root"], np.eye(4))]
+    while todo:
+        n, m = todo.pop()
+        m = m @ np.array(n.get("transform") or np.eye(4).ravel().tolist()).reshape(4, 4).T
+        yield n, m
+        todo += [(c, m) for c in n.get("children", [])]
+
+
+@query("merge_world_boxes", f"with {_SETS_SQL} select id, " + ", ".join(f"round({k}, 5) as {k}" for k in index.BOX) + " from sets")
+def merge_world_boxes(s, d):
+    """Where the merged tileset puts its inputs, all transforms composed."""
+    rows = []
+    for n, m in _nodes(_merged(s, d, 4, True)):
+        if n["content"]["uri"].endswith(".json"):
+            corners = np.c_[merge.box_corners(n["boundingVolume"]["box"]), np.ones(8)] @ m.T
+            rows.append((int(n["content"]["uri"].split("/")[0]), *[round(v, 5) + 0.0 for v in merge.to_box(corners[:, :3])]))
+    return s.createDataFrame(rows, "id long, " + ", ".join(f"{k} double" for k in index.BOX))
+
+
+@query(
+    "subtree_error_sum",
+    _quadrants_sql(4)
+    + ", up as (select substr(path, 1, k) as path, id from q4, range(0, 5) r(k)), own as (select path, count(*) as n, sum(id) as e from up group by 1)"
+    + " select 'r' || path || '.pnts' as uri, cast(e as double) / 4 as error from own where path = '' or n > 1",
+)
 def subtree_error_sum(s, d):
-    q = merge.quadrant_paths(_sets(s, d), 4)
-    return q.groupBy(F.substring("path", 1, 1).alias("quadrant")).agg(F.count("*").alias("n"), F.sum("id").alias("error"))
+    """The errors of the merged tileset's inner nodes: the sum of the inputs' below."""
+    rows = [(n["content"]["uri"], float(n["geometricError"])) for n, _ in _nodes(_merged(s, d, 4, False)) if n["content"]["uri"].endswith(".pnts")]
+    return s.createDataFrame(rows, "uri string, error double")
 
 
 @query("cubic_bounds", f"with {_box_sql(CLOUD_SQL['p2'])}, s as (select *, greatest(x1 - x0, y1 - y0, z1 - z0) as e from box) select x0, y0, z0, x0 + e as x1, y0 + e as y1, z0 + e as z1 from s")

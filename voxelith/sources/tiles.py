@@ -15,7 +15,7 @@ from voxelith.functions import codec, index
 from voxelith.sources.las import open_uri
 
 
-def read_tiles(spark: SparkSession, path: str, pattern: str = "*.{pnts,b3dm}") -> DataFrame:
+def read_tiles(spark: SparkSession, path: str | list[str], pattern: str = "*.{pnts,b3dm}") -> DataFrame:
     """(uri, magic, version, total, ft_json, ft_bin, bt_json, bt_bin, content) of tile files; files
     of another kind have a null kind."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -145,22 +145,23 @@ def tileset_json(tiles: list[dict], spacing: float, scale: float, transform: lis
         if path:
             kids.setdefault(path[:-1], []).append(path)
     files: dict[str, str] = {}
-    made: dict[str, tuple[dict, int]] = {}
+    made: dict[str, tuple[dict, int]] = {}  # a node and the length of its JSON
     for path in sorted(known, key=lambda p: (-len(p), p)):
         tile, below = known[path], sorted(kids.get(path, []))
         for i, k in enumerate(index.BOX):
             values = [known[c][k] for c in below] + [tile[k]] * (tile[k] is not None)
             tile[k] = (min if i < 3 else max)(values)
-        children = []
+        children, total = [], 0
         for c in below:
             node, size = made.pop(c)
             if size > EXTERNAL_CHARS and node.get("children"):
                 name = f"tileset.{c}.json"
                 files[name] = json.dumps({"asset": {"version": "1.0"}, "geometricError": node["geometricError"], "root": node})
                 node = {k: node[k] for k in ("boundingVolume", "geometricError", "refine")} | {"content": {"uri": name}}
+                size = len(json.dumps(node))
             children.append(node)
-        node = node_json(tile, children, spacing, scale)
-        made[path] = (node, len(json.dumps(node)))
+            total += size + 2
+        made[path] = (node_json(tile, children, spacing, scale), len(json.dumps(node_json(tile, [], spacing, scale))) + total)
     root = made.get("", ({"boundingVolume": {"box": [0.0] * 12}, "geometricError": 0.0}, 0))[0]
     root |= {"transform": transform, "refine": "REPLACE"}
     if top:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,42 +13,64 @@ from voxelith.functions import mesh
 
 
 def read_wkb(spark: SparkSession, path: str) -> DataFrame:
-    """features(fid, name, wkb) of the .wkb files in a folder, numbered by name."""
+    """features(fid, name, wkb) of the .wkb files in a folder; fid is a hash of the name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wkb").load(path)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").alias("wkb"))
     return named.select(F.xxhash64("name").alias("fid"), "name", "wkb")
 
 
 def read_database(spark: SparkSession, url: str, table: str, column: str, id_column: str | None = None, **options: str) -> DataFrame:
-    """features(fid, wkb) of a PostGIS table; geometry is fetched as WKB, all else is done here."""
-    key = id_column or "row_number() over ()"
-    return spark.read.format("jdbc").options(url=url, query=f"select {key} as fid, ST_AsBinary({column}) as wkb from {table}", **options).load()
+    """features(fid, wkb) of a PostGIS table; geometry is fetched as WKB, all else is done here.
+
+    Without an id column fid is a hash of the geometry, which every reading gives alike.  Options of
+    Spark's JDBC source that divide the reading (partitionColumn fid, bounds, numPartitions) pass on."""
+    key = f"{id_column} as fid, " if id_column else ""
+    got = spark.read.format("jdbc").options(url=url, dbtable=f"(select {key}ST_AsBinary({column}) as wkb from {table}) as features", **options).load()
+    return got.select(F.col("fid").cast("long").alias("fid") if id_column else F.xxhash64("wkb").alias("fid"), "wkb")
+
+
+_CORNERS = [f"{v}{c}" for v in "abc" for c in "xyz"]
 
 
 def triangles(features: DataFrame) -> DataFrame:
-    """(fid, tri, ax..cz, nx, ny, nz): the triangles of features(fid, wkb), faces outward."""
-    cols = [f"{v}{c}" for v in "abc" for c in "xyz"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for fid, wkb in zip(f["fid"], f["wkb"], strict=True):
-                if wkb is None:
-                    continue
-                parts = [mesh.triangulate(p)[0] for p in mesh.read_wkb(bytes(wkb)) if len(p) and len(p[0]) > 2]
-                tri = np.concatenate(parts) if parts else np.zeros((0, 3, 3))
-                out = pd.DataFrame(tri.reshape(-1, 9), columns=cols)
-                n = mesh.normals(tri)[::3]
-                out.insert(0, "tri", np.arange(len(tri)))
-                out.insert(0, "fid", fid)
-                yield out.assign(nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
-
-    schema = "fid long, tri long, " + ", ".join(f"{c} double" for c in [*cols, "nx", "ny", "nz"])
-    return features.select("fid", "wkb").mapInPandas(run, schema)
-
-
-def boxes(tri: DataFrame) -> DataFrame:
+    """(fid, tri, ax..cz, nx, ny, nz): the triangles of features(fid, wkb), faces outward.  A null wkb
+    has none.  Features are dealt to all shuffle partitions first, as a small file can hold much work."""
+    names = ["fid", "tri", *_CORNERS, "nx", "ny", "nz"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts, parts = [], [], []
+            for fid, wkb in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if wkb.is_valid:
+                    own = [mesh.triangulate(p)[0] for p in mesh.read_wkb(wkb.as_py()) if len(p) and len(p[0]) > 2]
+                    ids.append(fid)
+                    counts.append(sum(map(len, own)))
+                    parts += own
+            if not sum(counts):
+                continue
+            tri = np.concatenate([p for p in parts if len(p)])
+            each = [np.repeat(np.array(ids, np.int64), counts), np.concatenate([np.arange(n) for n in counts])]
+            flat, n = tri.reshape(-1, 9), mesh.normals(tri)[::3]
+            cols = [*each, *(flat[:, i] for i in range(9)), *(n[:, i] for i in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
+
+    schema = "fid long, tri long, " + ", ".join(f"{c} double" for c in names[2:])
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return features.select(F.col("fid").cast("long"), "wkb").repartition(parts).mapInArrow(run, schema)
+
+
+def turned(tri: DataFrame, offset: list[float]) -> DataFrame:
+    """Triangles with z up moved by -offset and turned to y up: (x, y, z) becomes (x, z, -y)."""
+    x, y, z = offset
+    out = {f"{v}x": F.col(f"{v}x") - x for v in "abc"}
+    out |= {f"{v}y": F.col(f"{v}z") - z for v in "abc"} | {f"{v}z": -(F.col(f"{v}y") - y) for v in "abc"}
+    return tri.withColumns(out | {"ny": F.col("nz"), "nz": -F.col("ny")})
+
+
+def boxes(tri: DataFrame, up: str = "z") -> DataFrame:
     """(fid, box, weight): each feature's box and its area seen from above."""
+    u, v = ("x", "y") if up == "z" else ("x", "z")
     low = [F.min(F.least(*[f"{v}{c}" for v in "abc"])).alias(f"{c}0") for c in "xyz"]
     high = [F.max(F.greatest(*[f"{v}{c}" for v in "abc"])).alias(f"{c}1") for c in "xyz"]
-    area = F.expr("abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / 2D")
+    area = F.expr(f"abs((b{u} - a{u}) * (c{v} - a{v}) - (b{v} - a{v}) * (c{u} - a{u})) / 2D")
     return tri.groupBy("fid").agg(*low, *high, F.sum(area).alias("weight"))
