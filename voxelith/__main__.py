@@ -62,11 +62,10 @@ def main(argv: list[str] | None = None) -> int:
             if args.benchmark:
                 print(f"{args.benchmark},{','.join(args.files)},{done['points']},{time.time() - began:.1f}")
         elif args.command == "info":
-            from voxelith.plans.info import describe
-            from voxelith.sources.tiles import read_tiles
+            from voxelith.plans.info import descriptions
 
-            for r in read_tiles(spark, args.path).select("content").collect():
-                print(describe(bytes(r["content"])))
+            for r in descriptions(spark, args.path).toLocalIterator():
+                print(r["text"])
         elif args.command == "merge":
             from voxelith.plans.merge import merge, remove
 

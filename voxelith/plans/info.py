@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelith.functions import codec
@@ -15,6 +17,17 @@ def info(spark: SparkSession, path: str) -> DataFrame:
     return tiles.read_tiles(spark, path).drop("content")
 
 
+def descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """(uri, text): each tile file described, where it is read; texts are short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [describe(c.as_py()) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["uri", "text"])
+
+    return tiles.read_tiles(spark, path).select("uri", "content").mapInArrow(run, "uri string, text string")
+
+
 def describe(content: bytes) -> str:
     """A tile as text: header, feature table and first point, or glTF header."""
     h = codec.header(content)

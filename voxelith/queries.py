@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelith import clouds
+from voxelith import algebra_queries, clouds
 from voxelith.clouds import CLOUD_SQL
 from voxelith.functions import codec, color, crs, index, linalg, mesh
 from voxelith.operators import features, lod, tiling
@@ -866,6 +866,9 @@ def cubic_bounds(s, d):
     return index.bounds(clouds.p2(s, d)).select(*index.cubic())
 
 
+query("linear_algebra", algebra_queries.SQL)(algebra_queries.linear_algebra)
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """How many points, and what tight box, each level-4 tile of the cloud has."""
     return _tiles(spark, sf_dir).orderBy("path")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from voxelith.functions import color
+
 SCHEMA = "src string, seq long, ix int, iy int, iz int, intensity int, red int, green int, blue int"
 #: Records in a partition at most.
 PORTION = 1_000_000
@@ -122,14 +124,31 @@ class LasSource(DataSource):
         return LasReader(list_files(self.options["path"], (".las",)), int(self.options.get("portion", PORTION)))
 
 
+#: Points at a file's start whose red tells how many bits colours have.
+PROBED = 10_000
+
+
+def highest_red(uri: str, head: Header) -> int:
+    """Of the first points; 0 where there is no colour."""
+    n = min(PROBED, head.count)
+    if not head.colored or not n:
+        return 0
+    system, path = open_uri(uri)
+    with system.open_input_file(path) as f:
+        raw = f.read_at(n * head.size, head.start)
+    kind = np.dtype({"names": ["red"], "formats": ["<u2"], "offsets": [_COLOR_AT[head.format]], "itemsize": head.size})
+    return int(np.frombuffer(raw, kind, n)["red"].max())
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(src, n, scale and offset per axis, box, colored) of each file, from the headers alone."""
+    """(src, n, scale and offset per axis, box, colored, high) of each file, from its header and, for
+    high, the red of its first points."""
     rows = []
     for uri in list_files(path, (".las",)):
         h = read_header(uri)
-        rows.append((uri, h.count, *map(float, (*h.scale, *h.offset, *h.low, *h.high)), h.colored))
+        rows.append((uri, h.count, *map(float, (*h.scale, *h.offset, *h.low, *h.high)), h.colored, highest_red(uri, h)))
     names = [f"{a}{c}" for a in ("s", "o", "low", "high") for c in "xyz"]
-    return spark.createDataFrame(rows, "src string, n long, " + ", ".join(f"{n} double" for n in names) + ", colored boolean")
+    return spark.createDataFrame(rows, "src string, n long, " + ", ".join(f"{n} double" for n in names) + ", colored boolean, high int")
 
 
 def read_las(spark: SparkSession, path: str, portion: int = PORTION) -> DataFrame:
@@ -137,10 +156,8 @@ def read_las(spark: SparkSession, path: str, portion: int = PORTION) -> DataFram
     intensity where there are none."""
     spark.dataSource.register(LasSource)
     raw = spark.read.format("voxelith_las").option("path", path).option("portion", portion).load()
-    meta = metadata(spark, path).drop("n", "colored")  # a row a file, from the same listing
-    high = raw.groupBy("src").agg(F.max("red").alias("_high"))
-    out = raw.join(F.broadcast(meta), "src").join(high, "src")
-    scale = F.when(F.col("red").isNull(), F.lit(1 / 257)).when(F.col("_high") > 255, F.lit(1 / 257)).otherwise(F.lit(1.0))
+    out = raw.join(metadata(spark, path).drop("n", "colored"), "src")  # a row a file, from the same listing
+    scale = F.when(F.col("red").isNull(), F.lit(1 / 257)).otherwise(color.sixteen_bit_scale(F.col("high")))
     colors = [F.floor(F.coalesce(F.col(c), F.col("intensity")) * scale).cast("int").alias(c[0]) for c in ("red", "green", "blue")]
     return out.select("src", "seq", *[(F.col(f"i{c}") * F.col(f"s{c}") + F.col(f"o{c}")).alias(c) for c in "xyz"], *colors)
 
