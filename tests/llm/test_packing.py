@@ -104,3 +104,11 @@ def test_tokenizer_is_the_tokenizer(rows, tok):
     odd = ["it's 42nd don't I'LL", "ΑΣ ß", "a\x1cb c\x85d\xa0e", "naïve ÀÉ ÿ Ÿ 10³ x² ½", "é É", "<|endoftext|> x <|", "...!!! a,b;c", "\x7f\x00"]
     for t in [*rows.values(), *odd]:
         assert np.frombuffer(mine(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_long_texts_and_clashing_columns(spark, tok):
+    long = " ".join(f"word{i % 1013}" for i in range(640_000))
+    assert len(long) > 4_500_000
+    df = spark.createDataFrame([(1, long, 7, "x"), (2, None, None, None), (3, "a b", 1, "y"), (3, "a b", 1, "y")], "doc_id long, text string, length int, sequence_id string")
+    n, least = check(df, tok, 4096)
+    assert n <= least + 2

@@ -50,6 +50,31 @@ def test_odd_rows(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_long_pages_clashing_columns_and_hot_payloads(spark):
+    rows = [(1, "http://a/1", "x" * 5_000_000), (2, "http://a/2", "x" * 5_000_000)] + [(10 + i, f"http://a/{i}", "the same page") for i in range(500)] + [(600 + i, None, f"own {i}") for i in range(50)]
+    df = spark.createDataFrame([(*r, "p", 1) for r in rows], "page_id long, url string, html string, payload string, sha int").repartition(5)
+    out = warc.archive_round_trip(df)
+    assert out.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert result(out) == brute(rows)
+
+
+def test_stores_by_their_hadoop_names(monkeypatch, tmp_path):
+    seen = []
+
+    class Store:
+        @staticmethod
+        def from_uri(uri):
+            seen.append(uri)
+            return object(), uri.split("://")[1]
+
+    monkeypatch.setattr(warc.fs, "FileSystem", Store)
+    monkeypatch.setattr(warc, "_stores", {})
+    one, path = warc._open("s3a://bucket/a/b")
+    two, other = warc._open("s3://bucket/c")
+    assert one is two and path == "bucket/a/b" and other == "bucket/c" and seen == ["s3://bucket/a/b"]
+    assert warc._open("dbfs:/a/b")[1] == "/dbfs/a/b" and warc._open("file:/x/y")[1] == "/x/y" and warc._open("/x/z")[1] == "/x/z"
+
+
 def test_seeking_and_payloads(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in range(200)], "page_id long, url string, html string").coalesce(1)
     index = warc.write_archives(df, f"file://{tmp_path}/w", frame_bytes=4096).collect()
