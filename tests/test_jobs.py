@@ -194,6 +194,18 @@ def test_tiles_divide_down_to_a_thousandth_before_scaling(spark):
     assert depth[0] == depth[1] >= 14
 
 
+def test_points_in_one_place_are_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiles, "FILE_POINTS", 70)
+    monkeypatch.setattr(tiles.encode_tiles, "__defaults__", (*tiles.encode_tiles.__defaults__[:-1], 70))
+    p = np.concatenate([np.full((300, 3), 5.0), cloud(100, 3)])
+    df = spark.createDataFrame([("s", i, *map(float, v), 1, 2, 3) for i, v in enumerate(p)], "src string, seq long, x double, y double, z double, r int, g int, b int")
+    done = convert.convert_points(df, f"file://{tmp_path}/c", convert.Options(threshold=200, compact=5))
+    found = list(world(tmp_path / "c"))
+    assert len(found) == done["tiles"] and len({f for f, _ in found}) == len(found) and all(len(x) <= 70 for _, x in found)
+    tiled = [(f, x) for f, x in found if not (f.name == "r.pnts" or f.name.startswith("r_"))]
+    assert 390 <= sum(len(x) for _, x in tiled) <= 400 and any("_4.pnts" in f.name for f, _ in tiled)
+
+
 def test_z_up_features_come_back(spark, tmp_path):
     """What a viewer does with a model (x, -z, y) and the tileset's transform gives the input."""
     rings = [np.array([[0, 0, 1], [5, 0, 2], [5, 5, 3], [0, 5, 2]], float) + [1000 + 10 * i, 50 * i, 7] for i in range(3)]

@@ -39,22 +39,25 @@ def tile_points(tiles: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "uri string, seq long, x double, y double, z double, r int, g int, b int")
 
 
-def encode_tiles(points: DataFrame, order: tuple[str, ...] = ("x", "y", "z"), rgb: bool = False, by: str = "path") -> DataFrame:
-    """(path, n, content): a pnts tile for each path, its points in `order`.
+#: Points of a file at most: a tile of more, such as one of points in one place, has several files.
+FILE_POINTS = 1_000_000
 
-    Paths are hashed to partitions and sorted; a task streams through them and holds one tile, whose
-    points the split rule bounds."""
+
+def encode_tiles(points: DataFrame, order: tuple[str, ...] = ("x", "y", "z"), rgb: bool = False, by: str = "path", most: int = FILE_POINTS) -> DataFrame:
+    """(path, part, n, content): a pnts file for each `most` points of a path, in `order`.
+
+    Paths are hashed to partitions and sorted; a task streams through them and holds one file."""
     cols = list(dict.fromkeys([by, *order, "x", "y", "z", *("rgb" if rgb else "")]))
     dealt = points.select(*cols).repartition(by).sortWithinPartitions(by, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, xyz, colors = None, [], []
+        path, part, held, xyz, colors = None, 0, 0, [], []
 
         def tile() -> pa.RecordBatch:
             p = np.concatenate(xyz)
             c = np.concatenate(colors) if rgb else None
             data = codec.encode_pnts(codec.Points(p.astype("<f4"), c))
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(p)], pa.int64()), pa.array([data], pa.binary())], names=[by, "n", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int32()), pa.array([len(p)], pa.int64()), pa.array([data], pa.binary())], names=[by, "part", "n", "content"])
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -62,21 +65,29 @@ def encode_tiles(points: DataFrame, order: tuple[str, ...] = ("x", "y", "z"), rg
             tint = np.column_stack([batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in "rgb"]).astype(np.uint8) if rgb else None
             at = 0
             while at < len(keys):
-                end = at + 1
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != path and xyz:
+                same = keys[at] == path
+                if xyz and (not same or held == most):
                     yield tile()
-                    xyz, colors = [], []
-                path = keys[at]
+                    xyz, colors, held = [], [], 0
+                    part = part + 1 if same else 0
+                elif not same:
+                    part = 0
+                path, end = keys[at], at + 1
+                while end < min(len(keys), at + most - held) and keys[end] == path:
+                    end += 1
                 xyz.append(own[at:end])
                 if rgb:
                     colors.append(tint[at:end])
-                at = end
+                held, at = held + end - at, end
         if xyz:
             yield tile()
 
-    return dealt.mapInArrow(run, f"{by} string, n long, content binary")
+    return dealt.mapInArrow(run, f"{by} string, part int, n long, content binary")
+
+
+def part_name(name: F.Column, part: F.Column) -> F.Column:
+    """The file of a tile's part: that of the first has the tile's name."""
+    return F.when(part == 0, name).otherwise(F.regexp_replace(name, r"[.]pnts$", F.concat(F.lit("_"), part.cast("string"), F.lit(".pnts"))))
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
@@ -117,7 +128,8 @@ EXTERNAL_CHARS = 100_000
 
 
 def node_json(tile: dict, children: list[dict], spacing: float, scale: float) -> dict:
-    """One tile of a tileset; the box is the tile's and its children's."""
+    """One tile of a tileset; the box is the tile's and its children's.  Files after a tile's first one
+    (`more`) are children without children."""
     box = [tile[k] for k in index.BOX]
     out: dict = {
         "boundingVolume": {"box": [*[(box[i] + box[i + 3]) / 2 for i in range(3)], *[(box[i + 3] - box[i]) / 2 if i == k else 0.0 for i in range(3) for k in range(3)]]},
@@ -126,8 +138,9 @@ def node_json(tile: dict, children: list[dict], spacing: float, scale: float) ->
     }
     if tile.get("uri"):
         out["content"] = {"uri": tile["uri"]}
-    if children:
-        out["children"] = children
+    more = [{k: out[k] for k in ("boundingVolume", "geometricError", "refine")} | {"content": {"uri": u}} for u in tile.get("more") or []]
+    if children or more:
+        out["children"] = more + children
     return out
 
 
@@ -150,7 +163,7 @@ def tileset_json(tiles: list[dict], spacing: float, scale: float, transform: lis
         tile, below = known[path], sorted(kids.get(path, []))
         for i, k in enumerate(index.BOX):
             values = [known[c][k] for c in below] + [tile[k]] * (tile[k] is not None)
-            tile[k] = (min if i < 3 else max)(values)
+            tile[k] = (min if i < 3 else max)(values, default=0.0)
         children, total = [], 0
         for c in below:
             node, size = made.pop(c)
