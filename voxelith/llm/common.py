@@ -27,8 +27,9 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
 
 
 @contextmanager
-def fewer_bytes(spark: SparkSession, most: int):
-    """Within this block, Arrow batches to Python end at about `most` bytes."""
+def fewer_bytes(spark: SparkSession, most: int = 8 << 20):
+    """Within this block, Arrow batches to Python end at about `most` bytes, not at 64 MB: a batch is
+    held by the JVM, outside its heap, and by the Python worker, for each task that runs."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)
     spark.conf.set(key, str(most))

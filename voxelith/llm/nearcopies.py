@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import discard, hot_join, materialize
+from .common import discard, fewer_bytes, hot_join, materialize
 from .components import components
 from .simhash import _BREAKS
 
@@ -153,7 +153,8 @@ def _links(classes: DataFrame, similarity: float, tile: int, words: int) -> Data
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    out = materialize(both.mapInArrow(compare, "a long, b long"), "links")
+    with fewer_bytes(classes.sparkSession):
+        out = materialize(both.mapInArrow(compare, "a long, b long"), "links")
     discard(tiles)
     return out
 
@@ -170,11 +171,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
     @pandas_udf("node long, size long, " + ", ".join(f"{w} long" for w in names))
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            sets = [shingles(t, size) for t in s]
-            yield pd.DataFrame([(node(x), len(x), *(majority(mixed(x, k)) for k in range(words))) for x in sets], columns=["node", "size", *names], dtype="int64")
+            rows = []
+            for t in s:
+                x = shingles(t, size)
+                rows.append((node(x), len(x), *(majority(mixed(x, k)) for k in range(words))))
+            yield pd.DataFrame(rows, columns=["node", "size", *names], dtype="int64")
 
     own = docs.select("doc_id", text_key().alias("key"), sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "key", "s.*")
-    own = materialize(own, "sketches")
+    with fewer_bytes(docs.sparkSession):
+        own = materialize(own, "sketches")
     classes = own.groupBy("node").agg(F.first("size").alias("size"), *[F.first(w).alias(w) for w in names], F.count("*").alias("n"))
     classes = materialize(classes, "classes")
     links = _links(classes, similarity, tile, words)

@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, fewer_bytes, materialize
 
 #: Texts of these characters alone are split and lower-cased by Python's re with the same result as
 #: by the tokenizer: ASCII without control characters and apostrophe, and the letters U+00DF to
 #: U+00FF with their capitals.  All other texts go to the tokenizer whole.
 _SIMPLE = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
 _PRETOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_MOST_CACHED = 1_000_000
+_MOST_CACHED = 300_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -258,7 +258,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
     A null or empty text has the end token alone.  Pieces have numbers of their own, so repeated rows
     get places of their own and ties are broken; a null doc_id stays null.  An empty table gives an
     empty table.  Other columns are ignored, whatever their names."""
-    cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
+    with fewer_bytes(docs.sparkSession):
+        cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
     placed = best_fit(cut.select("id", "length"), capacity)
     # A sequence has at most `capacity` pieces.
     before = Window.partitionBy("seq").orderBy(F.col("length").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import discard, hot_join, materialize
+from .common import discard, fewer_bytes, hot_join, materialize
 from .components import components
 
 #: Fingerprints in a tile, about; a tile pair needs eight times its square in bytes for a block of rows.
@@ -147,9 +147,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, tile: int =
     keeps its fingerprint and takes part in its class; the class's id is then the smallest that
     is not null (null if there is none).  Repeated rows stay repeated.  An empty table gives an
     empty table.  Other columns of docs are ignored, whatever their names."""
-    own = materialize(fingerprints(docs, size), "fingerprints")
+    with fewer_bytes(docs.sparkSession):
+        own = materialize(fingerprints(docs, size), "fingerprints")
     classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
-    links = materialize(near_pairs(classes.select("fp"), radius, tile), "links")
+    with fewer_bytes(docs.sparkSession):
+        links = materialize(near_pairs(classes.select("fp"), radius, tile), "links")
     roots = components(links)
     # The smallest doc_id of each component of fingerprints.
     linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
