@@ -2,7 +2,9 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SOME = ["octree_tile_counts_p3", "quadtree_tile_counts_p2", "grid_cell_counts", "hierarchy_rollup", "small_tile_compaction", "merge_quadtree", "feature_lod_assign", "pnts_header_bytes", "pnts_roundtrip", "triangulated_area", "batch_table_json"]
+SOME = ["octree_tile_counts_p3", "quadtree_tile_counts_p2", "grid_cell_counts", "hierarchy_rollup", "small_tile_compaction", "merge_quadtree", "feature_lod_assign", "pnts_header_bytes", "pnts_roundtrip", "triangulated_area", "batch_table_json",
+        "b3dm_header_bytes", "b3dm_contents", "earcut_shapes", "triangle_normals", "polygon_signed_area", "poisson_sample", "lod_build", "lod_build_p3", "root_overview",
+        "merge_world_boxes", "subtree_error_sum", "reproject_lambert", "reproject_back", "fraction_filter", "linear_algebra", "feature_lod_top20"]
 
 
 @pytest.fixture(scope="module")
