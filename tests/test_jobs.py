@@ -252,6 +252,35 @@ def test_export(spark, tmp_path):
     assert sum(len(codec.decode_b3dm(b)[2]["id"]) for b in found) == 30 and len(found) == done["tiles"] >= 2
 
 
+def test_textured_features(spark, tmp_path):
+    """Texture places go with their points into the file; a feature without has zeros."""
+    square = np.array([[0, 0, 0], [10, 0, 0], [10, 0, 10], [0, 0, 10]], float)
+    uv = np.array([[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0]], float)
+    df = spark.createDataFrame([(1, mesh.write_wkb([[square]]), mesh.write_wkb([[uv]])), (2, mesh.write_wkb([[square + 20]]), None)], "fid long, wkb binary, uv binary")
+    export.export_features(df, f"file://{tmp_path}/out", texture="square.jpg")
+    (file,) = (tmp_path / "out/tiles").iterdir()
+    head, body, batch, _ = codec.decode_b3dm(file.read_bytes())
+    assert head["images"][0]["uri"] == "square.jpg" and sorted(batch["id"]) == [1, 2]
+    acc = dict(zip(head["meshes"][0]["primitives"][0]["attributes"], head["accessors"], strict=True))
+    read = lambda k, n: np.frombuffer(body, "<f4", n * acc[k]["count"], head["bufferViews"][acc[k]["bufferView"]]["byteOffset"]).reshape(-1, n)
+    first = read("_BATCHID", 1)[:, 0] == batch["id"].index(1)
+    assert np.allclose(read("TEXCOORD_0", 2)[first], read("POSITION", 3)[first][:, [0, 2]] / 10) and first.sum() == 6
+    assert not read("TEXCOORD_0", 2)[~first].any()
+    with pytest.raises(ValueError):
+        export.export_features(df.drop("uv"), f"file://{tmp_path}/no", texture="square.jpg")
+
+
+def test_planes_and_back(spark):
+    df = spark.createDataFrame([(2.0, 48.0, 5.0), (3.0, 0.0, 0.0), (5.9, -79.0, 1.0), (0.1, 83.0, 2.0)], "x double, y double, z double")
+    for epsg in (3857, 32631, 32731):
+        there = df.select("x", "y", *[c.alias(n) for c, n in zip(crs.reproject(F.col("x"), F.col("y"), F.col("z"), 4326, epsg), "uvw", strict=True)])
+        back = there.select("x", "y", *[c.alias(n) for c, n in zip(crs.reproject(F.col("u"), F.col("v"), F.col("w"), epsg, 4326)[:2], "ab", strict=True)])
+        for r in back.collect():
+            assert abs(r["a"] - r["x"]) < 1e-8 and abs(r["b"] - r["y"]) < 1e-8
+    with pytest.raises(crs.UnknownSystem):
+        crs.reproject(F.lit(0.0), F.lit(0.0), F.lit(0.0), 4326, 32661)
+
+
 def test_external_subtrees(monkeypatch):
     monkeypatch.setattr(tiles, "EXTERNAL_CHARS", 500)
     rows = [{"path": p, "uri": f"r{p}.pnts", "x0": 0.0, "y0": 0.0, "z0": 0.0, "x1": float(len(p)), "y1": 1.0, "z1": 1.0} for p in ("0", "00", "01", "02", "4", "444")]

@@ -1,5 +1,6 @@
 """Coordinate systems by closed formulas, as column expressions: geographic WGS84 (4326),
-geocentric (4978), and the French conformal conics (3942 to 3950, 2154)."""
+geocentric (4978), web Mercator (3857), UTM on WGS84 (32601 to 32660 north, 32701 to 32760 south), and
+the French conformal conics (3942 to 3950, 2154)."""
 
 from __future__ import annotations
 
@@ -89,6 +90,78 @@ def conic_inverse(epsg: int, x: Column, y: Column) -> list[Column]:
     return [F.degrees(F.atan2(dx, dy) / n + lon0), F.degrees(lat)]
 
 
+def mercator_forward(lon: Column, lat: Column) -> list[Column]:
+    """Web Mercator: the sphere of the ellipsoid's larger axis."""
+    return [F.radians(lon) * WGS84_A, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * WGS84_A]
+
+
+def mercator_inverse(x: Column, y: Column) -> list[Column]:
+    return [F.degrees(x / WGS84_A), F.degrees(2 * F.atan(F.exp(y / WGS84_A)) - math.pi / 2)]
+
+
+#: Krueger's series to the fourth power of the third flattening.
+_N = WGS84_F / (2 - WGS84_F)
+_MERIDIAN = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_TO_PLANE = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
+    13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140,
+    49561 * _N**4 / 161280,
+)
+_FROM_PLANE = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+_UTM_SCALE, _UTM_EAST, _UTM_SOUTH = 0.9996, 500000.0, 10000000.0
+
+
+def _utm(epsg: int) -> tuple[float, float] | None:
+    """Central meridian (radians) and false northing of a UTM zone; None if it is none."""
+    zone, south = (epsg - 32600, 0.0) if epsg < 32700 else (epsg - 32700, _UTM_SOUTH)
+    return (math.radians(6 * zone - 183), south) if 1 <= zone <= 60 else None
+
+
+def _e() -> float:
+    return math.sqrt(WGS84_F * (2 - WGS84_F))
+
+
+def _asinh(c: Column) -> Column:
+    return F.log(c + F.sqrt(c * c + 1))
+
+
+def utm_forward(epsg: int, lon: Column, lat: Column) -> list[Column]:
+    """By the conformal sphere and a series in the plane; millimetres within a zone."""
+    lon0, north = _utm(epsg)
+    e, p, turn = _e(), F.radians(lat), F.radians(lon) - lon0
+    s = F.sin(p) * e
+    sphere = F.sinh(_asinh(F.tan(p)) - F.log((1 + s) / (1 - s)) * (e / 2))  # the conformal latitude's tangent
+    xi, eta = F.atan2(sphere, F.cos(turn)), _asinh(F.sin(turn) / F.sqrt(sphere * sphere + F.cos(turn) * F.cos(turn)))
+    x, y = eta, xi
+    for j, a in enumerate(_TO_PLANE, 1):
+        x = x + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
+        y = y + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
+    k = _UTM_SCALE * _MERIDIAN
+    return [x * k + _UTM_EAST, y * k + north]
+
+
+def utm_inverse(epsg: int, x: Column, y: Column) -> list[Column]:
+    lon0, north = _utm(epsg)
+    k = _UTM_SCALE * _MERIDIAN
+    xi, eta = (y - north) / k, (x - _UTM_EAST) / k
+    u, v = xi, eta
+    for j, b in enumerate(_FROM_PLANE, 1):
+        u = u - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
+        v = v - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
+    sphere = F.sin(u) / F.sqrt(F.sinh(v) * F.sinh(v) + F.cos(u) * F.cos(u))
+    e, lat = _e(), F.atan(sphere)
+    for _ in range(5):  # the latitude whose conformal latitude this is
+        s = F.sin(lat) * e
+        lat = F.atan(F.sinh(_asinh(sphere) + F.log((1 + s) / (1 - s)) * (e / 2)))
+    return [F.degrees(F.atan2(F.sinh(v), F.cos(u)) + lon0), F.degrees(lat)]
+
+
 def reproject(x: Column, y: Column, z: Column, source: str | int, target: str | int) -> list[Column]:
     """x, y, z from one EPSG system to another, by way of longitude and latitude."""
     source, target = int(source), int(target)
@@ -99,9 +172,21 @@ def reproject(x: Column, y: Column, z: Column, source: str | int, target: str |
     elif source == 4978:
         lon, lat, h = from_ecef(x, y, z)
     else:
-        (lon, lat), h = conic_inverse(source, x, y), z
+        (lon, lat), h = _from_plane(source, x, y), z
     if target == 4326:
         return [lon, lat, h]
     if target == 4978:
         return to_ecef(lon, lat, h)
-    return [*conic_forward(target, lon, lat), h]
+    return [*_to_plane(target, lon, lat), h]
+
+
+def _to_plane(epsg: int, lon: Column, lat: Column) -> list[Column]:
+    if epsg == 3857:
+        return mercator_forward(lon, lat)
+    return utm_forward(epsg, lon, lat) if _utm(epsg) else conic_forward(epsg, lon, lat)
+
+
+def _from_plane(epsg: int, x: Column, y: Column) -> list[Column]:
+    if epsg == 3857:
+        return mercator_inverse(x, y)
+    return utm_inverse(epsg, x, y) if _utm(epsg) else conic_inverse(epsg, x, y)

@@ -100,26 +100,29 @@ def convert_points(points: DataFrame, folder: str, options: Options | None = Non
     guard(folder, options.overwrite)
     points, meta = prepare(points, options)
     tiled = materialize(lod.build(points, options.threshold, order=("src", "seq"), scale=meta["scale"]), "tiled")
-    counts = tiling.tile_stats(tiled)
-    targets = materialize(tiling.compact(counts, options.compact), "targets")
-    placed = tiled.join(targets.select("path", "target"), "path").drop("path").withColumnRenamed("target", "path")
-    placed = materialize(placed, "placed")
-    content = tiles.encode_tiles(placed.where("path <> ''"), ("src", "seq"), options.rgb)
+    counts = materialize(tiling.tile_stats(tiled), "counts")
+    targets = materialize(tiling.compact(counts, options.compact).select("path", "target"), "targets")
+    placed = tiled.join(targets.where("target <> ''"), "path").drop("path").withColumnRenamed("target", "path")
+    content = tiles.encode_tiles(placed, ("src", "seq"), options.rgb)
     written = materialize(tiles.write_files(content.select(tiles.part_name(index.tile_file(), F.col("part")).alias("name"), "content"), folder), "written")
     top = lod.overview(tiled.select("src", "seq", "x", "y", "z", "r", "g", "b", "path", "depth"), meta["spacing"], ("src", "seq"))
-    rest = placed.where("path = ''").select(*top.columns)  # what was folded into the root
+    rest = tiled.join(targets.where("target = ''"), "path", "left_semi").select(*top.columns)  # what was folded into the root
     top = top.unionByName(rest).dropDuplicates(["src", "seq"]).withColumn("path", F.lit(""))
     root = tiles.encode_tiles(top, ("src", "seq"), options.rgb)
     heads = tiles.write_files(root.select(tiles.part_name(F.lit("r.pnts"), F.col("part")).alias("name"), "content"), folder).count()
     parts = F.expr(f"case when n > {tiles.FILE_POINTS} then sequence(1, cast((n - 1) div {tiles.FILE_POINTS} as int)) else cast(array() as array<int>) end")
-    stats = tiling.tile_stats(placed.where("path <> ''")).withColumn("uri", index.tile_file())
+    # Boxes and numbers of the tiles as they are now, from those of before: no point is read again.
+    ends = [F.min(k).alias(k) if k[1] == "0" else F.max(k).alias(k) for k in index.BOX]
+    stats = counts.join(targets, "path").groupBy("target").agg(F.sum("n").alias("n"), *ends).withColumnRenamed("target", "path")
+    total = stats.agg(F.sum("n")).first()[0] or 0
+    stats = stats.where("path <> ''").withColumn("uri", index.tile_file())
     stats = stats.withColumn("more", F.transform(parts, lambda k: tiles.part_name(F.col("uri"), k)))
     rows = [r.asDict() for r in stats.collect()]  # metadata, a row a tile
     rows.append({"path": "", "uri": None, "more": [f"r_{k}.pnts" for k in range(1, heads)], **index.bounds(top).first().asDict()})
     files = tiles.tileset_json(rows, meta["spacing"], meta["scale"], linalg.column_major(meta["transform"]), "r.pnts")
     for name, text in files.items():
         tiles.write_text(f"{folder}/{name}", text)
-    return {"points": placed.count(), "tiles": written.count() + heads}
+    return {"points": total, "tiles": written.count() + heads}
 
 
 def convert(spark: SparkSession, files: list[str], folder: str, options: Options | None = None) -> dict:

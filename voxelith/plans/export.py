@@ -18,19 +18,23 @@ from voxelith.sources import tiles, wkb
 ROOT_ERROR = 500.0
 
 
-def encode_nodes(tri: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(name, content): a b3dm file for each node, a batch for each feature.
+def encode_nodes(tri: DataFrame, assigned: DataFrame, texture: str | None = None) -> DataFrame:
+    """(name, content): a b3dm file for each node, a batch for each feature; with the address of a
+    texture, the triangles' texture places go into the file.
 
     A node keeps a bounded number of features."""
+    if texture and "au" not in tri.columns:
+        raise ValueError("a texture needs triangles with texture places")
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["fid", "tri"])
         meshes, ids = [], []
         for fid, g in f.groupby("fid", sort=False):
             pos = g[[f"{v}{c}" for v in "abc" for c in "xyz"]].to_numpy().reshape(-1, 3)
-            meshes.append(codec.Mesh(pos, np.repeat(g[["nx", "ny", "nz"]].to_numpy(), 3, axis=0)))
+            uvs = g[[f"{v}{c}" for v in "abc" for c in "uv"]].to_numpy().reshape(-1, 2) if texture else None
+            meshes.append(codec.Mesh(pos, np.repeat(g[["nx", "ny", "nz"]].to_numpy(), 3, axis=0), uvs))
             ids.append(int(fid))
-        data = codec.encode_b3dm(codec.encode_glb(meshes), {"id": ids})
+        data = codec.encode_b3dm(codec.encode_glb(meshes, texture=texture), {"id": ids})
         return pd.DataFrame({"name": [f"tiles/{f['node'].iloc[0]}.b3dm"], "content": [data]})
 
     both = tri.join(assigned.select("fid", "node"), "fid")
@@ -61,20 +65,20 @@ def tileset(nodes: list[dict], filled: set[str], transform: list[float]) -> dict
     return {"asset": {"version": "1.0"}, "geometricError": ROOT_ERROR, "root": root | {"transform": [round(float(v), 3) for v in transform]}}
 
 
-def export_triangles(tri: DataFrame, folder: str, transform: list[float]) -> dict[str, int]:
+def export_triangles(tri: DataFrame, folder: str, transform: list[float], texture: str | None = None) -> dict[str, int]:
     """Write triangles with y up, as models have it, as a tileset of b3dm files in folder.  Boxes are
     given with z up, as tilesets have it; the larger features of a cell come first."""
     placed = materialize(ops.assign(ops.swap_up(wkb.boxes(tri, "y"))), "assigned")
-    written = tiles.write_files(encode_nodes(tri, placed), folder).count()
+    written = tiles.write_files(encode_nodes(tri, placed, texture), folder).count()
     nodes = [r.asDict() for r in ops.node_boxes(placed).collect()]  # a row a node
     filled = {r["node"] for r in placed.select("node").distinct().collect()}
     tiles.write_text(f"{folder}/tileset.json", json.dumps(tileset(nodes, filled, transform)))
     return {"features": placed.count(), "tiles": written}
 
 
-def export_features(features: DataFrame, folder: str, transform: list[float] | None = None) -> dict[str, int]:
-    """Write features(fid, wkb), whose y axis points up, as a tileset."""
-    return export_triangles(materialize(wkb.triangles(features), "triangles"), folder, transform or linalg.column_major(np.eye(4)))
+def export_features(features: DataFrame, folder: str, transform: list[float] | None = None, texture: str | None = None) -> dict[str, int]:
+    """Write features(fid, wkb), whose y axis points up, as a tileset; a texture needs a column uv."""
+    return export_triangles(materialize(wkb.triangles(features), "triangles"), folder, transform or linalg.column_major(np.eye(4)), texture)
 
 
 def export_z_up(features: DataFrame, folder: str) -> dict[str, int]:

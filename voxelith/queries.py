@@ -504,6 +504,37 @@ def reproject_lambert(s, d):
     return g.select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+@query(
+    "reproject_mercator",
+    f"select c_custkey, round(6378137 * radians(lon), 3) + 0 as x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0 as y from ({_LONLAT})",
+)
+def reproject_mercator(s, d):
+    g = clouds.table(s, d, "customer").selectExpr("c_custkey", "double(c_custkey % 360 - 180) as lon", "double(c_custkey % 170 - 85) as lat", "double(0) as h")
+    x, y, _ = crs.reproject(F.col("lon"), F.col("lat"), F.col("h"), 4326, 3857)
+    return g.select("c_custkey", (F.round(x, 3) + 0.0).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
+
+
+def _utm_sql() -> str:
+    """UTM zone 31 by Krueger's series, step by step."""
+    f = "(1 / cast('298.257223563' as double))"
+    out = "with g as (select c_custkey, radians(cast(c_custkey % 6 - 3 as double)) as l, radians(cast(c_custkey % 160 - 80 as double)) as p from customer), "
+    out += f"k as (select {f} / (2 - {f}) as n, sqrt({f} * (2 - {f})) as e), "
+    out += "s as (select g.*, k.*, sinh(asinh(tan(p)) - e * atanh(e * sin(p))) as t from g, k), "
+    out += "r as (select *, atan2(t, cos(l)) as xi, atanh(sin(l) / sqrt(1 + t * t)) as eta, 6378137 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) as big, "
+    out += "n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 as a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 as a2, 61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 as a3, 49561 * pow(n, 4) / 161280 as a4 from s) "
+    x = "eta + " + " + ".join(f"a{j} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j in range(1, 5))
+    y = "xi + " + " + ".join(f"a{j} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j in range(1, 5))
+    k = _D(0.9996)
+    return out + f"select c_custkey, round(500000 + {k} * big * ({x}), 3) + 0 as x, round({k} * big * ({y}), 3) + 0 as y from r"
+
+
+@query("reproject_utm", _utm_sql())
+def reproject_utm(s, d):
+    g = clouds.table(s, d, "customer").selectExpr("c_custkey", "double(c_custkey % 6) as lon", "double(c_custkey % 160 - 80) as lat", "double(0) as h")
+    x, y, _ = crs.reproject(F.col("lon"), F.col("lat"), F.col("h"), 4326, 32631)
+    return g.select("c_custkey", (F.round(x, 3) + 0.0).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
+
+
 @query("reproject_back", "select c_custkey, cast(c_custkey % 9 - 4 as double) as lon, cast(c_custkey % 8 + 42 as double) as lat, round(c_acctbal, 2) as h from customer")
 def reproject_back(s, d):
     """Through a plane and a geocentric system back to where it began."""

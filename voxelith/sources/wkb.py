@@ -30,33 +30,46 @@ def read_database(spark: SparkSession, url: str, table: str, column: str, id_col
 
 
 _CORNERS = [f"{v}{c}" for v in "abc" for c in "xyz"]
+_TEXTURE = [f"{v}{c}" for v in "abc" for c in "uv"]
 
 
 def triangles(features: DataFrame) -> DataFrame:
     """(fid, tri, ax..cz, nx, ny, nz): the triangles of features(fid, wkb), faces outward.  A null wkb
-    has none.  Features are dealt to all shuffle partitions first, as a small file can hold much work."""
-    names = ["fid", "tri", *_CORNERS, "nx", "ny", "nz"]
+    has none.  Features are dealt to all shuffle partitions first, as a small file can hold much work.
+
+    If features has a column `uv`, WKB of polygons whose points are the texture places of the points in
+    `wkb`, one by one, the texture places of the triangles' corners follow (au..cv; 0 where uv is null)."""
+    textured = "uv" in features.columns
+    names = ["fid", "tri", *_CORNERS, "nx", "ny", "nz", *(_TEXTURE if textured else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, parts = [], [], []
-            for fid, wkb in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, counts, parts, places = [], [], [], []
+            for k, (fid, wkb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 if wkb.is_valid:
-                    own = [mesh.triangulate(p)[0] for p in mesh.read_wkb(wkb.as_py()) if len(p) and len(p[0]) > 2]
+                    polygons = mesh.read_wkb(wkb.as_py())
+                    uv = mesh.read_wkb(batch.column(2)[k].as_py()) if textured and batch.column(2)[k].is_valid else [[0 * r for r in p] for p in polygons]
+                    if [[len(r) for r in p] for p in uv] != [[len(r) for r in p] for p in polygons]:
+                        raise ValueError(f"feature {fid}: texture places are not one for each point")
+                    own = [mesh.triangulate(p, [q]) for p, q in zip(polygons, uv, strict=True) if len(p) and len(p[0]) > 2]
                     ids.append(fid)
-                    counts.append(sum(map(len, own)))
-                    parts += own
+                    counts.append(sum(len(t) for t, _ in own))
+                    parts += [t for t, _ in own]
+                    places += [t[:, :, :2] for _, t in own]
             if not sum(counts):
                 continue
             tri = np.concatenate([p for p in parts if len(p)])
             each = [np.repeat(np.array(ids, np.int64), counts), np.concatenate([np.arange(n) for n in counts])]
             flat, n = tri.reshape(-1, 9), mesh.normals(tri)[::3]
             cols = [*each, *(flat[:, i] for i in range(9)), *(n[:, i] for i in range(3))]
+            if textured:
+                at = np.concatenate([p for p in places if len(p)]).reshape(-1, 6)
+                cols += [at[:, i] for i in range(6)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
 
     schema = "fid long, tri long, " + ", ".join(f"{c} double" for c in names[2:])
     parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return features.select(F.col("fid").cast("long"), "wkb").repartition(parts).mapInArrow(run, schema)
+    return features.select(F.col("fid").cast("long"), "wkb", *(["uv"] if textured else [])).repartition(parts).mapInArrow(run, schema)
 
 
 def turned(tri: DataFrame, offset: list[float]) -> DataFrame:
