@@ -290,6 +290,21 @@ def test_external_subtrees(monkeypatch):
     assert top["root"]["boundingVolume"]["box"][3] == 1.5 and any(c["content"]["uri"] == "tileset.0.json" for c in top["root"]["children"])
 
 
+def test_subtrees_folded_on_executors_are_those_of_the_driver(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    paths = {"".join(rng.choice(list("02467"), k)) for k in rng.integers(1, 9, 400)}
+    rows = []
+    for p in sorted(paths):
+        low = rng.random(3)
+        rows.append({"path": p, "uri": f"r{p}.pnts", "more": [f"r{p}_1.pnts"] if p.endswith("7") else [], **dict(zip(index.BOX, [*low.tolist(), *(low + rng.random(3)).tolist()], strict=True))})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "path string, uri string, more array<string>, " + ", ".join(f"{k} double" for k in index.BOX))
+    want = tiles.tileset_json(rows, 1.0, 0.5, [1.0] * 16, "r.pnts")
+    below = tiles.fold_tiles(df, 1.0, 0.5, f"file://{tmp_path}/t").collect()
+    given = {r["path"]: (json.loads(r["node"]), r["size"], list(r["box"])) for r in below}
+    got = tiles.tileset_json([r for r in rows if len(r["path"]) <= tiles.FOLD_AT], 1.0, 0.5, [1.0] * 16, "r.pnts", given)
+    assert {k: json.loads(v) for k, v in got.items()} == {k: json.loads(v) for k, v in want.items()}
+
+
 def test_stream(spark, tmp_path):
     from voxelith.streaming import ingest
 

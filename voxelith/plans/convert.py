@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,9 +118,11 @@ def convert_points(points: DataFrame, folder: str, options: Options | None = Non
     total = stats.agg(F.sum("n")).first()[0] or 0
     stats = stats.where("path <> ''").withColumn("uri", index.tile_file())
     stats = stats.withColumn("more", F.transform(parts, lambda k: tiles.part_name(F.col("uri"), k)))
-    rows = [r.asDict() for r in stats.collect()]  # metadata, a row a tile
+    below = tiles.fold_tiles(stats, meta["spacing"], meta["scale"], folder).collect()  # at most 8^5 rows
+    given = {r["path"]: (json.loads(r["node"]), r["size"], list(r["box"])) for r in below}
+    rows = [r.asDict() for r in stats.where(F.length("path") <= tiles.FOLD_AT).collect()]  # and at most 8^4
     rows.append({"path": "", "uri": None, "more": [f"r_{k}.pnts" for k in range(1, heads)], **index.bounds(top).first().asDict()})
-    files = tiles.tileset_json(rows, meta["spacing"], meta["scale"], linalg.column_major(meta["transform"]), "r.pnts")
+    files = tiles.tileset_json(rows, meta["spacing"], meta["scale"], linalg.column_major(meta["transform"]), "r.pnts", given)
     for name, text in files.items():
         tiles.write_text(f"{folder}/{name}", text)
     return {"points": total, "tiles": written.count() + heads}

@@ -144,29 +144,29 @@ def node_json(tile: dict, children: list[dict], spacing: float, scale: float) ->
     return out
 
 
-def tileset_json(tiles: list[dict], spacing: float, scale: float, transform: list[float], top: str | None = None) -> dict[str, str]:
-    """Files of a tileset by name, from its tiles' metadata (path, uri, box).
+def fold(tiles: list[dict], spacing: float, scale: float, above: int = 0, given: dict[str, tuple[dict, int, list[float]]] | None = None) -> tuple[dict[str, tuple[dict, int, list[float]]], dict[str, str]]:
+    """Nodes of tiles (path, uri, box), nested: of each path of `above` digits (node, the length of its
+    JSON, box), and the files of its own that a subtree of over EXTERNAL_CHARS characters becomes.
 
-    Subtrees of over EXTERNAL_CHARS characters, but the root, are files of their own, which their
-    parent refers to.  Tiles that are missing between others are filled in without content."""
+    Tiles that are missing between others are filled in without content.  given: finished nodes of
+    longer paths."""
+    given = given or {}
     known = {t["path"]: dict(t) for t in tiles}
-    for path in list(known):
-        for i in range(len(path)):
+    for path in [*known, *given]:
+        for i in range(above, len(path)):
             known.setdefault(path[:i], {"path": path[:i], "uri": None, **{k: None for k in index.BOX}})
     kids: dict[str, list[str]] = {}
-    for path in known:
-        if path:
+    for path in [*known, *given]:
+        if len(path) > above:
             kids.setdefault(path[:-1], []).append(path)
     files: dict[str, str] = {}
-    made: dict[str, tuple[dict, int]] = {}  # a node and the length of its JSON
+    made = dict(given)
     for path in sorted(known, key=lambda p: (-len(p), p)):
-        tile, below = known[path], sorted(kids.get(path, []))
-        for i, k in enumerate(index.BOX):
-            values = [known[c][k] for c in below] + [tile[k]] * (tile[k] is not None)
-            tile[k] = (min if i < 3 else max)(values, default=0.0)
-        children, total = [], 0
-        for c in below:
-            node, size = made.pop(c)
+        tile, children, total = known[path], [], 0
+        boxes = [] if tile["x0"] is None else [[tile[k] for k in index.BOX]]
+        for c in sorted(kids.get(path, [])):
+            node, size, box = made.pop(c)
+            boxes.append(box)
             if size > EXTERNAL_CHARS and node.get("children"):
                 name = f"tileset.{c}.json"
                 files[name] = json.dumps({"asset": {"version": "1.0"}, "geometricError": node["geometricError"], "root": node})
@@ -174,17 +174,51 @@ def tileset_json(tiles: list[dict], spacing: float, scale: float, transform: lis
                 size = len(json.dumps(node))
             children.append(node)
             total += size + 2
-        made[path] = (node_json(tile, children, spacing, scale), len(json.dumps(node_json(tile, [], spacing, scale))) + total)
-    root = made.get("", ({"boundingVolume": {"box": [0.0] * 12}, "geometricError": 0.0}, 0))[0]
+        box = [(min if i < 3 else max)((b[i] for b in boxes), default=0.0) for i in range(6)]
+        tile |= dict(zip(index.BOX, box, strict=True))
+        made[path] = (node_json(tile, children, spacing, scale), len(json.dumps(node_json(tile, [], spacing, scale))) + total, box)
+    return made, files
+
+
+def tileset_json(tiles: list[dict], spacing: float, scale: float, transform: list[float], top: str | None = None, given: dict[str, tuple[dict, int, list[float]]] | None = None) -> dict[str, str]:
+    """Files of a tileset by name, from its tiles' metadata (path, uri, box) and, below them, finished
+    nodes.  Subtrees of over EXTERNAL_CHARS characters, but the root, are files of their own, which
+    their parent refers to."""
+    made, files = fold(tiles, spacing, scale, 0, given)
+    root, _, box = made.get("", ({"boundingVolume": {"box": [0.0] * 12}, "geometricError": 0.0}, 0, [0.0] * 6))
     root |= {"transform": transform, "refine": "REPLACE"}
     if top:
         root["content"] = {"uri": top}
-    box = known.get("", {k: 0.0 for k in index.BOX})
-    error = float(np.sqrt(sum((box[f"{c}1"] - box[f"{c}0"]) ** 2 for c in "xyz"))) / scale
+    error = float(np.sqrt(sum((box[i + 3] - box[i]) ** 2 for i in range(3)))) / scale
     files["tileset.json"] = json.dumps({"asset": {"version": "1.0"}, "geometricError": error, "root": root})
     return files
 
 
+#: Digits of a path from which on tiles are folded where their rows are: the driver gets a node for each
+#: of the at most 8^5 paths one digit longer, of up to EXTERNAL_CHARS characters.
+FOLD_AT = 4
+
+
+def fold_tiles(stats: DataFrame, spacing: float, scale: float, folder: str) -> DataFrame:
+    """stats(path, uri, more, box) of tiles below FOLD_AT digits -> (path, node, size, box), a row for each
+    path of FOLD_AT + 1 digits; subtrees that are files of their own are written to folder."""
+    cols = ["path", "uri", "more", *index.BOX]
+    deep = stats.where(F.length("path") > FOLD_AT).select(F.substring("path", 1, FOLD_AT + 1).alias("top"), *cols)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        made, files = fold(table.select(cols).to_pylist(), spacing, scale, FOLD_AT + 1)
+        for name, text in files.items():
+            write_text(f"{folder}/{name}", text)
+        (path, (node, size, box)), = made.items()
+        if size > EXTERNAL_CHARS and node.get("children"):
+            write_text(f"{folder}/tileset.{path}.json", json.dumps({"asset": {"version": "1.0"}, "geometricError": node["geometricError"], "root": node}))
+            node = {k: node[k] for k in ("boundingVolume", "geometricError", "refine")} | {"content": {"uri": f"tileset.{path}.json"}}
+            size = len(json.dumps(node))
+        return pa.table({"path": [path], "node": [json.dumps(node)], "size": pa.array([size], pa.int64()), "box": pa.array([box], pa.list_(pa.float64()))})
+
+    return deep.groupBy("top").applyInArrow(run, "path string, node string, size long, box array<double>")
+
+
 def read_tilesets(spark: SparkSession, path: str) -> DataFrame:
     """(uri, json) of every tileset.json below path."""
     return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "tileset.json").text(path).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("json"))
