@@ -43,7 +43,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one whose columns are least stays.  A null id is greater than any other.  Texts without words
     (null, empty) are copies of each other.  An empty table stays empty; columns stay as they are.
 
-    The ids that go are fewer than those that stay, so they are what the texts are held against."""
+    The ids that go are fewer than those that stay, so they are what the texts are held against, by a
+    merge join at every size: they grow with the corpus, so they are never broadcast."""
     copies = materialize(nearcopies.near_copies(docs), "copies")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     groups = copies.groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -54,7 +55,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = materialize(rows.where("not _stays or _n > 1").select("_id", "_key", "_stays"), "gone")
     held = docs.withColumn("_k", nearcopies.text_key())
     same = held["doc_id"].eqNullSafe(gone["_id"]) & (held["_k"] == gone["_key"])
-    rest = held.join(gone, same, "left_anti").select(*docs.columns)
+    rest = held.join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
     repeated = held.join(gone.where("_stays"), same).groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
     return rest.unionByName(repeated.select("_row.*"))
 
