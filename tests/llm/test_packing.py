@@ -57,7 +57,16 @@ def best_fit_decreasing(lengths, cap):
     return len(bins)
 
 
-def test_supersteps_pack_as_well_as_best_fit_decreasing(spark):
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables too are dealt to all ranges."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_supersteps_pack_as_well_as_best_fit_decreasing(spark, many_ranges):
     rng = np.random.default_rng(1)
     for lengths in (rng.integers(1, 101, 3000), rng.integers(30, 60, 999), np.full(77, 51), np.array([100]), np.ones(7, int), rng.integers(1, 9, 2000)):
         items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id long, length long").repartition(4)
@@ -82,7 +91,7 @@ def sweep(items):
     return out
 
 
-def test_a_sweep_is_that_of_a_stack(spark):
+def test_a_sweep_is_that_of_a_stack(spark, many_ranges):
     rng = np.random.default_rng(2)
     for n, m in ((400, 300), (50, 400), (400, 20), (1, 1)):
         rest = [(i, int(x)) for i, x in enumerate(rng.integers(5, 21, n))]
@@ -93,6 +102,9 @@ def test_a_sweep_is_that_of_a_stack(spark):
         items = [(x, 0, i, 1) for i, x in rest] + [(g, 1, s, -max(1, g // long)) for s, g in gaps if g >= short]
         got = {r["id"]: r["seq"] for r in packing.match(a, b, short, long).collect() if r["seq"] is not None}
         assert got == sweep(items)
+        frame = spark.createDataFrame(items, "size long, kind int, id long, w long").repartition(5)
+        parts = {r["part"] for r in packing.swept(frame).select("part").distinct().collect()}
+        assert len(parts) > 3 or len(items) < 10
 
 
 def test_ranges_need_two_numbers_of_each_other():

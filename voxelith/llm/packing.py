@@ -188,9 +188,13 @@ def match(rest: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> Data
     return out
 
 
-def opened(rest: DataFrame, capacity: int) -> DataFrame:
-    """rest(id, length) -> (id, length, seq): new sequences, named by their first pieces.  Each range of
-    lengths fills one sequence after the other, the longest pieces first."""
+#: New sequences of a range at least, so that its last one, which may stay part empty, is one of many.
+RANGE_SEQUENCES = 256
+
+
+def opened(rest: DataFrame, capacity: int, tokens: int) -> DataFrame:
+    """rest(id, length), of so many tokens -> (id, length, seq): new sequences, named by their first
+    pieces.  Each range of lengths fills one sequence after the other, the longest pieces first."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, room = -1, 0
@@ -208,12 +212,15 @@ def opened(rest: DataFrame, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("length"), pa.array(seq)], names=["id", "length", "seq"])
 
     order = [F.col("length").desc(), F.col("id")]
-    return rest.select("id", "length").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fill, "id long, length long, seq long")
+    most = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranges = max(1, min(most, tokens // (capacity * RANGE_SEQUENCES)))
+    return rest.select("id", "length").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(fill, "id long, length long, seq long")
 
 
-def _limits(rest: DataFrame) -> tuple[int, int, int]:
-    r = rest.agg(F.count("*").alias("n"), F.min("length"), F.max("length")).first()
-    return r[0], r[1] or 0, r[2] or 0
+def _limits(rest: DataFrame) -> tuple[int, int, int, int]:
+    """Rows, least and greatest length, sum of lengths."""
+    r = rest.agg(F.count("*"), F.min("length"), F.max("length"), F.sum("length")).first()
+    return tuple(v or 0 for v in r)
 
 
 def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -221,7 +228,7 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
     gaps, done = None, []
     for low, high in bands(capacity):
         rest = items.where(f"length > {low} and length <= {high}").select("id", "length")
-        n, shortest, longest = _limits(rest)
+        n, shortest, longest, tokens = _limits(rest)
         if not n:
             continue
         if 2 * shortest > capacity:  # each has a sequence of its own
@@ -234,10 +241,10 @@ def best_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
                 less = materialize(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
                 discard(gaps)
                 gaps, rest = less, found.where("seq is null").drop("seq")
-                n, shortest, longest = _limits(rest)
+                n, shortest, longest, tokens = _limits(rest)
             if not n:
                 continue
-            new = materialize(opened(rest, capacity), "opened")
+            new = materialize(opened(rest, capacity, tokens), "opened")
         done.append(new)
         fresh = new.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("gap")).where("gap > 0")
         more = materialize(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
