@@ -45,24 +45,26 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return found.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def line_dedup(docs: DataFrame, host: Column | str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, ends: str = ENDS) -> DataFrame:
-    """docs with boilerplate lines dropped from `text`, all other columns as they were, and the
-    columns n_lines and n_dropped after them.
+def line_dedup(docs: DataFrame, host: Column | str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, ends: str = ENDS, counts: bool = True) -> DataFrame:
+    """docs with boilerplate lines dropped from `text`, all other columns as they were, and, if counts
+    are wanted, the columns n_lines and n_dropped after them.
 
     A null host is a host like any other.  A null text stays null, with no lines; an empty text has
     one empty line.  No row is dropped, even if no line remains: its text is then empty.  Repeated
-    rows count as pages each.  An empty table gives an empty table.  The input's columns named
-    n_lines or n_dropped are replaced; no other name can clash."""
+    rows count as pages each.  An empty table gives an empty table.  With counts, the input's columns
+    named n_lines or n_dropped are replaced; no other name can clash."""
     host = F.col(host) if isinstance(host, str) else host
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), host.alias("host"), F.col(text).alias("text"))
     found = materialize(boilerplate(held.select("host", "text"), ratio, min_pages, ends), "boilerplate").withColumnRenamed("host", "_host")
     both = held.join(found, F.col("host").eqNullSafe(F.col("_host")), "left")
-    kept = F.when(F.col("lines").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(F.trim(x, F.lit(ends))))), "\n")
-    )
-    both = both.withColumn("_kept", kept).withColumn("_n", F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long"))
-    dropped = F.when(F.col("lines").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(_lines(F.col("text")), lambda x: F.array_contains(F.col("lines"), F.xxhash64(F.trim(x, F.lit(ends))))))
-    )
-    cols = [F.col("_kept").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return both.select(*cols, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    all_lines = _lines(F.col("text"))
+    bad = lambda x: F.array_contains(F.col("lines"), F.xxhash64(F.trim(x, F.lit(ends))))
+    plain = F.col("lines").isNull() | F.col("text").isNull()
+    kept = F.when(plain, F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x: ~bad(x)), "\n"))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long")
+    dropped = F.when(plain, F.lit(0)).otherwise(F.size(F.filter(all_lines, bad))).cast("long")
+    # One struct, so that no name of the input's columns meets those used here.
+    out = both.select("_row", F.struct(kept.alias("text"), n.alias("n_lines"), dropped.alias("n_dropped")).alias("_out"))
+    new = ("n_lines", "n_dropped") if counts else ()
+    cols = [F.col("_out.text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in new]
+    return out.select(*cols, *[F.col(f"_out.{c}").alias(c) for c in new])
