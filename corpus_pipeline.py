@@ -28,8 +28,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No row goes: a document of boilerplate alone has an empty text, a null text stays null.  A null
     source is a source.  Repeated rows count as pages each.  An empty table stays empty; columns of
     other names stay as they are."""
-    out = linededup.line_dedup(docs, "source").drop("n_lines", "n_dropped")
-    return _counted(out, docs)
+    return _counted(linededup.line_dedup(docs, "source", counts=False), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +52,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.count("*").alias("_n"), F.first(row == F.col("first")).alias("_stays")
     )
     gone = materialize(rows.where("not _stays or _n > 1").select("_id", "_key", "_stays"), "gone")
-    held = docs.withColumn("_k", nearcopies.text_key())
-    same = held["doc_id"].eqNullSafe(gone["_id"]) & (held["_k"] == gone["_key"])
-    rest = held.join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
-    repeated = held.join(gone.where("_stays"), same).groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    # The row in one struct, so that its columns' names cannot clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(row.alias("_row"), F.col("doc_id").alias("_doc"), nearcopies.text_key().alias("_k"))
+    same = held["_doc"].eqNullSafe(gone["_id"]) & (held["_k"] == gone["_key"])
+    rest = held.join(gone.hint("merge"), same, "left_anti").select("_row.*")
+    repeated = held.join(gone.where("_stays"), same).groupBy("_id", "_key").agg(F.min("_row").alias("_row"))
     return rest.unionByName(repeated.select("_row.*"))
 
 
