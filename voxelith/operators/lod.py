@@ -78,7 +78,7 @@ def build(points: DataFrame, threshold: int = index.SPLIT_COUNT, most_levels: in
     level a tile of fewer than `threshold` points, or of a spacing of at most a thousandth before
     scaling, keeps all; another keeps a greedy sample at its spacing, cell
     by cell, and hands the rest down.  A level's counts are a partial aggregate, its sample one
-    shuffle by tile and cell, and each level is written to the shared folder."""
+    shuffle by tile and cell, and each level's sample is written to the shared folder."""
     own = points.columns
     box = index.bounds(points).withColumn("_root", index.spacing())
     one = box.first()
@@ -89,7 +89,7 @@ def build(points: DataFrame, threshold: int = index.SPLIT_COUNT, most_levels: in
     done: list[DataFrame] = []
     for level in range(1, most_levels + 1):
         space = root / 2**level
-        rest = materialize(index.descend(rest), f"level{level}")
+        rest = index.descend(rest)  # a projection: reading it twice costs less than writing it
         counts = rest.groupBy("path").agg(F.count("*").alias("_n"))
         fine = space <= index.LEAST_SPACING * scale or level == most_levels
         big = materialize(counts.where(F.lit(not fine) & (F.col("_n") >= threshold)).select("path"), "big")
