@@ -305,6 +305,26 @@ def test_subtrees_folded_on_executors_are_those_of_the_driver(spark, tmp_path, m
     assert {k: json.loads(v) for k, v in got.items()} == {k: json.loads(v) for k, v in want.items()}
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from voxelith.__main__ import main
+
+    for name, shift in (("a", 0), ("b", 900)):
+        (tmp_path / f"{name}.xyz").write_text("".join(f"{x + shift} {y} {z} 1 2 3\n" for x, y, z in cloud(60, 4)))
+        out = f"file://{tmp_path}/m/{name}"
+        assert main(["convert", f"{tmp_path}/{name}.xyz", "--out", out, "--benchmark", "run"]) == 0
+        assert capsys.readouterr().out.startswith("run,") and main(["convert", f"{tmp_path}/{name}.xyz", "--out", out]) == 1
+    assert main(["merge", f"file://{tmp_path}/m"]) == 0 and main(["merge", f"file://{tmp_path}/m"]) == 1
+    assert main(["merge", f"file://{tmp_path}/m", "--overwrite", "true"]) == 0
+    capsys.readouterr()
+    assert main(["info", f"file://{tmp_path}/m/a"]) == 0
+    assert "Points: 60" in capsys.readouterr().out
+    (tmp_path / "w").mkdir()
+    ring = np.array([[0, 0, 0], [5, 0, 0], [5, 0, 5], [0, 0, 5]], float)
+    (tmp_path / "w/one.wkb").write_bytes(mesh.write_wkb([[ring]]))
+    assert main(["export", "--directory", f"file://{tmp_path}/w", "--out", f"file://{tmp_path}/e", "--offset", "1", "2", "3"]) == 0
+    assert main(["info", f"file://{tmp_path}/e"]) == 0 and "Magic value: b3dm" in capsys.readouterr().out
+
+
 def test_stream(spark, tmp_path):
     from voxelith.streaming import ingest
 
