@@ -175,6 +175,18 @@ def test_merged_clouds_lie_where_their_points_are(spark, tmp_path):
     assert len(over) and np.abs(over[:, None] - np.concatenate(list(clouds.values()))[None]).max(axis=2).min(axis=1).max() < 0.1
 
 
+def test_overviews_take_an_even_share(spark):
+    rows = [(q, k, *map(float, v)) for q, most in (("", 9000), ("0", 300)) for k, share in ((1, 0.75), (2, 0.25)) for v in cloud(int(most * share), k)]
+    df = spark.createDataFrame(rows, "path string, id int, x double, y double, z double")
+    got = merge.overview(df, most=1000)
+    n = {(r["path"], r["id"]): r["count"] for r in got.groupBy("path", "id").count().collect()}
+    assert n == {("", 1): 750, ("", 2): 250, ("0", 1): 112, ("0", 2): 37}
+    ranked = df.withColumn("h", F.xxhash64("x", "y", "z")).collect()
+    for (q, k), m in n.items():
+        want = sorted((r["h"], r["x"]) for r in ranked if (r["path"], r["id"]) == (q, k))[:m]
+        assert sorted(x for _, x in want) == sorted(r["x"] for r in got.where((F.col("path") == q) & (F.col("id") == k)).collect())
+
+
 def test_quadrants_end_at_a_small_diagonal():
     box = {"x0": 0.0, "y0": 0.0, "z0": 0.0, "x1": 3.0, "y1": 4.0, "z1": 9.0}
     assert merge.levels(box) == 3 and 5 / 2**3 < merge.LEAST_DIAGONAL <= 5 / 2**2

@@ -72,9 +72,13 @@ def overview(points: DataFrame, path: str = "path", by: str = "id", most: int =
     half; chosen by a hash, without replacement, so the same ones each time."""
     n = points.groupBy(path, by).agg(F.count("*").alias("_n"))
     total = n.groupBy(path).agg(F.sum("_n").alias("_total"))
-    take = n.join(total, path).select(path, by, F.expr(f"cast(floor(_n * least({OVERVIEW_SHARE}D, {float(most)}D / _total)) as bigint)").alias("_take"))
-    rank = F.row_number().over(Window.partitionBy(path, by).orderBy(F.xxhash64("x", "y", "z"), "x", "y", "z"))
-    return points.join(take, [path, by]).withColumn("_rank", rank).where("_rank <= _take").drop("_rank", "_take")
+    take = n.join(total, path).select(path, by, "_n", F.expr(f"cast(floor(_n * least({OVERVIEW_SHARE}D, {float(most)}D / _total)) as bigint)").alias("_take"))
+    # Hashes are spread evenly, so the least `_take` lie below their share and seven deviations; only
+    # what is below is sorted.
+    some = points.withColumn("_hash", F.xxhash64("x", "y", "z")).join(take, [path, by])
+    some = some.where("_hash / 18446744073709551616D + 0.5D <= (_take + 7 * sqrt(_take) + 50) / _n")
+    rank = F.row_number().over(Window.partitionBy(path, by).orderBy("_hash", "x", "y", "z"))
+    return some.withColumn("_rank", rank).where("_rank <= _take").drop("_rank", "_take", "_n", "_hash")
 
 
 def levels(box: dict[str, float], most: int = 12) -> int:
