@@ -212,3 +212,13 @@ def test_polygons_in_space():
     flat = struct.pack(">BIII", 0, 3, 1, 4) + np.array([[0, 0], [1, 0], [0, 1], [0, 0]], ">f8").tobytes()
     assert mesh.read_wkb(flat)[0][0].tolist() == [[0, 0, 0], [1, 0, 0], [0, 1, 0]]
     assert mesh.earcut([np.zeros((2, 2))]) == []
+
+
+def test_crossings_of_a_few_segments_in_plain_numbers():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        p, q = rng.integers(0, 5, (2, 2)).astype(float)
+        a, b = rng.integers(0, 5, (2, 3, 2)).astype(float)
+        assert mesh._meets(p.tolist(), q.tolist(), list(zip(a.tolist(), b.tolist(), strict=True))) == mesh.crossings(p, q, a, b).any()
+    p, q, a = np.zeros(2), np.array([4.0, 0]), np.array([[2.0, 0], [4, 0], [1, -1], [5, -1]])
+    assert mesh.crossings(p, q, a, np.array([[2.0, 3], [4, 3], [1, 1], [5, 1]])).tolist() == [True, False, True, False]

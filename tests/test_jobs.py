@@ -298,6 +298,42 @@ def test_export(spark, tmp_path):
     assert sum(len(codec.decode_b3dm(b)[2]["id"]) for b in found) == 30 and len(found) == done["tiles"] >= 2
 
 
+def test_parts_are_dealt_to_all_tasks(spark):
+    """A table in one file becomes polygons in as many tasks as a shuffle has."""
+    from voxelith import queries
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = queries._footprints(spark, "/root/testdata/sf0.001")
+    rows = made.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(rows) == n and min(rows) > 0 and sum(rows) == 200
+
+
+def test_files_do_not_depend_on_batches(spark, monkeypatch):
+    """Nodes that begin and end within batches, and nodes of several batches; nodes as groups of a frame."""
+    rng = np.random.default_rng(6)
+    rows = [(f, t, *map(float, rng.random(12))) for f in range(60) for t in range(1 + f % 5)]
+    names = [f"{v}{c}" for v in "abc" for c in "xyz"] + ["nx", "ny", "nz"]
+    tri = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "fid long, tri long, " + ", ".join(f"{c} double" for c in names))
+    node = {f: "1_1" if f < 30 else f"1_2_{f % 7}" for f in range(60)}
+    placed = spark.createDataFrame(list(node.items()), "fid long, node string")
+    monkeypatch.setattr(export, "FILES_BYTES", 1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["name"]: bytes(r["content"]) for r in export.encode_nodes(tri, placed).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for n in set(node.values()):
+        ids = [f for f in node if node[f] == n]
+        meshes = []
+        for f in ids:
+            g = np.array([r[2:] for r in rows if r[0] == f])
+            meshes.append(codec.Mesh(g[:, :9].reshape(-1, 3), np.repeat(g[:, 9:], 3, axis=0)))
+        want[f"tiles/{n}.b3dm"] = codec.encode_b3dm(codec.encode_glb(meshes), {"id": ids})
+    assert got == want
+
+
 def test_textured_features(spark, tmp_path):
     """Texture places go with their points into the file; a feature without has zeros."""
     square = np.array([[0, 0, 0], [10, 0, 0], [10, 0, 10], [0, 0, 10]], float)

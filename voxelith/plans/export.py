@@ -6,39 +6,66 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.functions import codec, index, linalg
 from voxelith.operators import features as ops
+from voxelith.operators.lod import starts
 from voxelith.operators.tables import materialize
 from voxelith.sources import tiles, wkb
 
 ROOT_ERROR = 500.0
+#: Files are passed on when so many bytes of them are ready.
+FILES_BYTES = 4 << 20
 
 
 def encode_nodes(tri: DataFrame, assigned: DataFrame, texture: str | None = None) -> DataFrame:
     """(name, content): a b3dm file for each node, a batch for each feature; with the address of a
     texture, the triangles' texture places go into the file.
 
-    A node keeps a bounded number of features."""
+    Rows are sorted by node; a task holds one node's triangles, and a node keeps a bounded number of
+    features."""
     if texture and "au" not in tri.columns:
         raise ValueError("a texture needs triangles with texture places")
 
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["fid", "tri"])
-        meshes, ids = [], []
-        for fid, g in f.groupby("fid", sort=False):
-            pos = g[[f"{v}{c}" for v in "abc" for c in "xyz"]].to_numpy().reshape(-1, 3)
-            uvs = g[[f"{v}{c}" for v in "abc" for c in "uv"]].to_numpy().reshape(-1, 2) if texture else None
-            meshes.append(codec.Mesh(pos, np.repeat(g[["nx", "ny", "nz"]].to_numpy(), 3, axis=0), uvs))
-            ids.append(int(fid))
-        data = codec.encode_b3dm(codec.encode_glb(meshes, texture=texture), {"id": ids})
-        return pd.DataFrame({"name": [f"tiles/{f['node'].iloc[0]}.b3dm"], "content": [data]})
-
-    both = tri.join(assigned.select("fid", "node"), "fid")
-    return both.groupBy("node").applyInPandas(build, "name string, content binary")
+    corners = [f"{v}{c}" for v in "abc" for c in "xyz"]
+    cols = ["node", "fid", "tri", *corners, "nx", "ny", "nz", *([f"{v}{c}" for v in "abc" for c in "uv"] if texture else [])]
+
+    def build(parts: list[pa.RecordBatch]) -> bytes:
+        get = lambda c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
+        fid = get("fid")
+        by = np.lexsort((get("tri"), fid))
+        flat = np.column_stack([get(c) for c in cols[3:]])[by]
+        ids, at = np.unique(fid, return_inverse=True)
+        uvs = flat[:, 12:].reshape(-1, 2) if texture else None
+        one = codec.Mesh(flat[:, :9].reshape(-1, 3), np.repeat(flat[:, 9:12], 3, axis=0), uvs, np.repeat(at[by], 3))
+        return codec.encode_b3dm(codec.encode_glb([one], texture=texture), {"id": ids.tolist()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(done: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"tiles/{n}.b3dm" for n, _ in done], pa.string()), pa.array([d for _, d in done], pa.binary())], names=["name", "content"])
+
+        node, parts, done, held = None, [], [], 0
+        for batch in batches:
+            cuts = starts(batch, 1) if batch.num_rows else []
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                now = batch.column(0)[at].as_py()
+                if parts and now != node:
+                    done.append((node, build(parts)))
+                    parts, held = [], held + len(done[-1][1])
+                node = now
+                parts.append(batch.slice(at, end - at))
+            if held > FILES_BYTES:
+                yield out(done)
+                done, held = [], 0
+        if parts:
+            done.append((node, build(parts)))
+        yield out(done)
+
+    both = tri.join(assigned.select("fid", "node"), "fid").select(*cols)
+    return both.repartition("node").sortWithinPartitions("node").mapInArrow(run, "name string, content binary")
 
 
 def tileset(nodes: list[dict], filled: set[str], transform: list[float]) -> dict:

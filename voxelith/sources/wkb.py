@@ -48,7 +48,13 @@ def triangles(features: DataFrame) -> DataFrame:
             for k, (fid, wkb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 if wkb.is_valid:
                     polygons = mesh.read_wkb(wkb.as_py())
-                    uv = mesh.read_wkb(batch.column(2)[k].as_py()) if textured and batch.column(2)[k].is_valid else [[0 * r for r in p] for p in polygons]
+                    if not textured:
+                        own = [mesh.triangulate(p)[0] for p in polygons if len(p) and len(p[0]) > 2]
+                        ids.append(fid)
+                        counts.append(sum(len(t) for t in own))
+                        parts += own
+                        continue
+                    uv = mesh.read_wkb(batch.column(2)[k].as_py()) if batch.column(2)[k].is_valid else [[0 * r for r in p] for p in polygons]
                     if [[len(r) for r in p] for p in uv] != [[len(r) for r in p] for p in polygons]:
                         raise ValueError(f"feature {fid}: texture places are not one for each point")
                     own = [mesh.triangulate(p, [q]) for p, q in zip(polygons, uv, strict=True) if len(p) and len(p[0]) > 2]
